@@ -58,6 +58,12 @@ def op7_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op9_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.covertree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_bottom_k_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sketches import near_duplicates
 
@@ -66,6 +72,6 @@ def op10_bottom_k_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op10_bottom_k_duplicates)
+    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op9_cover_tree_duplicates, op10_bottom_k_duplicates)
 }
 ORACLES: dict[str, str] = {}
