@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, table
+from tessera.llm.lines import oracle
 
 
 def vocabulary(name: str) -> str:
@@ -58,6 +59,12 @@ def op7_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op8_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lines import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.covertree import near_duplicates
 
@@ -72,6 +79,6 @@ def op10_bottom_k_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op9_cover_tree_duplicates, op10_bottom_k_duplicates)
+    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op8_template_lines, op9_cover_tree_duplicates, op10_bottom_k_duplicates)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_template_lines": oracle()}
