@@ -36,6 +36,8 @@ K, RUN = 64, 3
 MARGIN = 6 * (0.25 / K) ** 0.5
 #: Shingles that a task takes at a time from one group; larger groups are dealt to several tasks.
 GROUP_SHINGLES = 4_000_000
+#: Ids of dropped rows up to this many (8 bytes each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def run_keys(sketch: np.ndarray) -> np.ndarray:
@@ -214,12 +216,29 @@ def link_texts(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFram
     return sketched, links
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    sketched, links = link_texts(docs, num, den)
+def _decide(sketched: DataFrame, links: DataFrame) -> DataFrame:
     classes = sketched.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     of = components(links)
     classes = classes.join(of, classes.rep == of.node, "left").select("set_id", F.coalesce("component", "rep").alias("class_component"))
     rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(classes, "set_id", "left")
     alone = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("class_component", "doc_id"))
     return rows.select("doc_id", "n_shingles", alone.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    return _decide(*link_texts(docs, num, den))
+
+
+def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` of which each group of near duplicates keeps one: that of its smallest id. Rows that
+    repeat an id and its text are copies too."""
+    sketched, links = link_texts(docs, num, den)
+    gone = keep(_decide(sketched, links).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = keep(sketched.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if not again.limit(1).count():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("_again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
