@@ -178,7 +178,8 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     kind = members.schema["at"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    one = members.join(texts, "doc").select("doc", "at", "text").mapInArrow(run, f"doc long, at {kind}, s binary")
+    # always by shuffle, so that the plan is the same at every size
+    one = members.hint("merge").join(texts, "doc").select("doc", "at", "text").mapInArrow(run, f"doc long, at {kind}, s binary")
     return one.select("doc", "s", F.explode("at").alias("at")).select("doc", "s", "at.*")
 
 
