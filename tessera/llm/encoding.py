@@ -21,27 +21,32 @@ _SPACES = r"\t\n\r "
 #: Characters whose classes and lower case are the same in every library.
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ſ‐-‧А-яぁ-ゖァ-ヺ一-龥]*")
 BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-LOWERED = re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-#: Pieces kept by a worker: a bound on its memory, not on what is encoded.
-MOST_KEPT = 500_000
+LOWERED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+#: Pieces kept by a worker, twice: a bound on its memory, not on what is encoded.
+MOST_KEPT = 300_000
+
+#: The characters by which byte-level models write bytes: printable ones as they are, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class _Kept(dict):
-    """Ids of pieces as bytes; a piece that is missing is encoded."""
+    """Ids of pieces as bytes; a piece that is missing is encoded. Full, it becomes the elder half, from which pieces
+    in use come back."""
 
-    def __init__(self, tokenizer, byte_level: bool) -> None:
-        self.tokenizer, self.model, self.byte_level = tokenizer, tokenizer.model, byte_level
+    def __init__(self, model) -> None:
+        self.tokenize, self.elder = model.tokenize, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.elder.get(piece)
+        if out is None:
+            # what the byte-level step makes of a piece of PLAIN characters, in lower case already where that is asked
+            ids = [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            out = array("I", ids).tobytes()
         if len(self) >= MOST_KEPT:
+            self.elder = dict(self)
             self.clear()
-        if piece.isascii():
-            # what the normaliser and the byte-level step make of an ASCII piece
-            plain = piece.replace(" ", "Ġ").replace("\n", "Ċ").replace("\t", "ĉ").replace("\r", "č") if self.byte_level else piece.lower()
-            ids = [x.id for x in self.model.tokenize(plain)]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out = self[piece] = array("I", ids).tobytes()
+        self[piece] = out
         return out
 
 
@@ -56,12 +61,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        before, normal, self.find = spec["pre_tokenizer"], spec.get("normalizer"), None
+        before, normal, self.find, self.lower = spec["pre_tokenizer"], spec.get("normalizer"), None, False
         if before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and normal is None:
             self.find = BYTE_LEVEL.findall
         elif normal and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "[\\p{N}]|" in json.dumps(before).replace("\\\\", "\\"):
-            self.find = LOWERED.findall
-        self.kept = _Kept(self.tokenizer, normal is None)
+            self.find, self.lower = LOWERED.findall, True
+        self.kept = _Kept(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,7 +74,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.find is None or not PLAIN.fullmatch(text):
             return self.whole(text)
-        return b"".join(map(self.kept.__getitem__, self.find(text)))
+        return b"".join(map(self.kept.__getitem__, self.find(text.lower() if self.lower else text)))
 
 
 _encoders: dict[str, Encoder] = {}

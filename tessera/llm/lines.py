@@ -24,18 +24,27 @@ LEAD = 3
 MOST_BROADCAST = 1_000_000
 
 
+def spaced(line: Column) -> Column:
+    """The line's tokens, one space apart."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for space in "\t\r\v\f":
+        odd = odd | line.contains(space)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+
+
 def masked(line: Column) -> Column:
-    """The line's tokens, one space apart, with variable fields for tokens that hold a digit."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    """Variable fields for the tokens that hold a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """``doc_id, h, at, line, leaf`` of the lines that can be dropped; ``h`` tells texts of one id apart."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    rows = rows.withColumn("line", masked(F.col("line"))).withColumn("tokens", F.split("line", " "))
-    rows = rows.where(F.size("tokens") >= min_tokens)
-    return rows.select("doc_id", "h", "at", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)).alias("leaf"))
+    # per text first: what follows the explode would be done again for each of its lines, with the text beside it
+    texts = docs.where("doc_id is not null and text is not null")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), F.transform(F.transform(F.split("text", "\n", -1), spaced), masked).alias("lines"))
+    rows = texts.select("doc_id", "h", F.posexplode("lines").alias("at", "line"))
+    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    return rows.select("doc_id", "h", "at", "line", F.xxhash64("n", F.substring_index("line", " ", LEAD)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, alike: float, rounds: int) -> DataFrame:
@@ -78,7 +87,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(lines, i)), "\n"))
     ordered = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    plain = F.col("text").cast("string")
+    n_lines = F.when(plain.isNull(), 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")
     return out.select(*ordered, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 

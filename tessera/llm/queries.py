@@ -11,6 +11,10 @@ from tessera.llm.common import held_out, table
 from tessera.llm.lines import oracle
 
 
+#: A deployment passes its own secret to the operator; the query has to be reproducible.
+SURROGATE_KEY = "key of the registered query"
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokeniser's file lies."""
     import public_tokenizers
@@ -40,6 +44,12 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, model).drop("text")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.surrogates import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=SURROGATE_KEY)
+
+
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokenfile import read_tokens, write_tokens
 
@@ -79,6 +89,6 @@ def op10_bottom_k_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op8_template_lines, op9_cover_tree_duplicates, op10_bottom_k_duplicates)
+    for f in (op1_quartile_digest, op2_cube_mixing, op3_language_mixture, op4_surrogates, op5_token_blocks, op6_quality_discriminant, op7_matched_packing, op8_template_lines, op9_cover_tree_duplicates, op10_bottom_k_duplicates)
 }
 ORACLES: dict[str, str] = {"op8_template_lines": oracle()}

@@ -39,15 +39,14 @@ def _widths(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values below 2**width as rows of bytes, lowest bit first."""
+    """Rows of values below 2**width as rows of bytes, highest bit first (widths 8 and 16: as little-endian numbers)."""
     if width == 8:
         return x.astype(np.uint8)
     if width == 16:
         return x.astype("<u2").view(np.uint8).reshape(len(x), -1)
-    bits = np.empty((*x.shape, width), np.uint8)
-    for k in range(width):
-        bits[:, :, k] = (x >> np.uint32(k)) & np.uint32(1)
-    return np.packbits(bits.reshape(len(x), -1), axis=1, bitorder="little")
+    whole = 16 if width < 16 else 32
+    bits = np.unpackbits(x.astype(f">u{whole // 8}").view(np.uint8), axis=1).reshape(len(x), BLOCK, whole)
+    return np.packbits(bits[:, :, whole - width :].reshape(len(x), -1), axis=1)
 
 
 def _unpack(b: np.ndarray, width: int) -> np.ndarray:
@@ -55,11 +54,10 @@ def _unpack(b: np.ndarray, width: int) -> np.ndarray:
         return b.astype(np.uint32)
     if width == 16:
         return np.ascontiguousarray(b).view("<u2").astype(np.uint32)
-    bits = np.unpackbits(b, axis=1, bitorder="little").reshape(len(b), BLOCK, width)
-    out = np.zeros((len(b), BLOCK), np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    whole = 16 if width < 16 else 32
+    bits = np.zeros((len(b), BLOCK, whole), np.uint8)
+    bits[:, :, whole - width :] = np.unpackbits(b, axis=1).reshape(len(b), BLOCK, width)
+    return np.packbits(bits.reshape(len(b), -1), axis=1).view(f">u{whole // 8}").astype(np.uint32)
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
