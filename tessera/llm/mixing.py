@@ -26,6 +26,8 @@ from tessera.llm.common import WORD, keep
 
 #: Units that fly together.
 BLOCK = 2048
+#: Sources up to this many (some 100 bytes each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 _UNIT = "s long, doc_id long, source string, size long, m long, pi double, base long"
 
 
@@ -114,6 +116,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     plan = [(i, r.source, r["size"], t, t / r["size"] if r["size"] else 0.0, r.n) for i, (r, t) in enumerate(zip(found, targets, strict=True))]
     sources = spark.createDataFrame(plan, "s long, source string, source_size long, target double, rate double, units long")
 
+    def small(of_sources: DataFrame) -> DataFrame:
+        return F.broadcast(of_sources) if len(plan) <= MOST_BROADCAST else of_sources
+
     def level(land_below: int, depth: int):
         def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.assign(draw=[_draw(seed + 1000 * depth, (int(m), str(d), str(s), int(z))) for d, s, z, m in zip(pdf.doc_id, pdf.source, pdf["size"], pdf.m, strict=True)])
@@ -125,12 +130,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
         return run
 
     rate = F.col("rate")
-    joined = units.join(sources.select("s", F.col("source").alias("of"), "rate"), F.col("source").eqNullSafe(F.col("of")))
+    joined = units.join(small(sources.select("s", F.col("source").alias("of"), "rate")), F.col("source").eqNullSafe(F.col("of")))
     state = joined.select("s", "doc_id", "source", "size", "m", (rate - F.floor(rate)).alias("pi"), F.floor(rate).cast("long").alias("base"))
     done, counts, depth = None, {r[0]: r[5] for r in plan}, 0
     while counts:
         blocks = spark.createDataFrame([(s, -(-n // BLOCK), n) for s, n in counts.items()], "s long, blocks long, n long")
-        dealt = state.join(blocks, "s").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + depth), "doc_id", "size"), F.col("blocks")))
+        dealt = state.join(small(blocks), "s").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + depth), "doc_id", "size"), F.col("blocks")))
+        # by block, or else a join by source would leave all blocks of a source in one task
+        dealt = dealt.repartition("s", "block")
         flown = keep(dealt.groupBy("s", "block", "n").applyInPandas(level(BLOCK, depth), _UNIT), "flight")
         over = flown.where("pi <= 0 or pi >= 1")
         done = over if done is None else done.unionByName(over)
@@ -140,7 +147,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     if done is None:
         done = state.limit(0)
     taken = done.select("s", "doc_id", "source", "size", "m", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
-    return taken.join(sources.select("s", "source_size", "target"), "s").withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return taken.join(small(sources.select("s", "source_size", "target")), "s").withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
