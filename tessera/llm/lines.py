@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep
 
 LEAD = 3
-#: Recurring leaves up to this many (16 bytes each) are broadcast; more are joined by shuffle.
+#: Recurring leaves or templates up to this many (64 bytes each at most) are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
 
@@ -42,7 +42,8 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     # per text first: what follows the explode would be done again for each of its lines, with the text beside it
     texts = docs.where("doc_id is not null and text is not null")
     texts = texts.select("doc_id", F.xxhash64("text").alias("h"), F.transform(F.transform(F.split("text", "\n", -1), spaced), masked).alias("lines"))
-    rows = texts.select("doc_id", "h", F.posexplode("lines").alias("at", "line"))
+    # outer: else a filter on the array is put below, and all lines are made twice
+    rows = texts.select("doc_id", "h", F.posexplode_outer("lines").alias("at", "line")).where("line IS NOT NULL")
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
     return rows.select("doc_id", "h", "at", "line", F.xxhash64("n", F.substring_index("line", " ", LEAD)).alias("leaf"))
 
@@ -74,7 +75,10 @@ def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, alike: floa
     placed = seen.select("leaf", "key", "doc_id", "h", "at").join(joined, ["leaf", "key"]).select("leaf", "template", "doc_id", "h", "at")
     per_doc = placed.groupBy("leaf", "template", "doc_id").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    dropped = placed.join(recurring.drop("docs"), ["leaf", "template"]).where("doc_id <> first")
+    # stored apart: the join is then by broadcast, or has two plain shuffles below it, and a frequent template can be split
+    recurring = keep(recurring.drop("docs"), "recurring")
+    recurring = F.broadcast(recurring) if recurring.count() <= MOST_BROADCAST else recurring
+    dropped = placed.join(recurring, ["leaf", "template"]).where("doc_id <> first")
     return dropped.groupBy("doc_id", "h").agg(F.collect_set("at").alias("drop"))  # places within one document
 
 
