@@ -42,11 +42,14 @@ def terms(text: Column, stop: Collection[str] = STOP_WORDS, protected: Collectio
     else:
 
         def split(run: Column) -> Column:
-            one = F.filter(F.split(run, ""), lambda c: c != "")
-            return F.concat(F.array(run), pairs(one, ""), F.filter(one, lambda c: ~_isin(c, stop)))
-
-        parts = F.when(F.size(chinese) > 0, F.flatten(F.transform(chinese, split))).otherwise(F.array().cast("array<string>"))
-    return F.concat(plain, parts, *([pairs(plain, "_")] if bigrams else []))
+            one = F.array(F.filter(F.split(run, ""), lambda c: c != ""))
+            return F.concat(F.array(run), F.transform(one, lambda c: F.concat(pairs(c, ""), F.filter(c, lambda x: ~_isin(x, stop))))[0])
+
+        parts = F.flatten(F.transform(chinese, split))
+    if not bigrams:
+        return F.concat(plain, parts)
+    # bound once, or else each use would make the list again
+    return F.concat(F.transform(F.array(plain), lambda p: F.concat(p, pairs(p, "_")))[0], parts)
 
 
 def segmented(runs: Column, segment: Callable[[str], list[str]], stop: tuple[str, ...]) -> Column:

@@ -407,13 +407,13 @@ class Meaning:
         return len(units) >= 3 and float(np.std(self.alike(np.asarray(self.embed([u for u, _ in units]), float))[1:])) >= spread
 
 
-def split_children(text: str, meaning: Meaning | None = None, most: int = 800, least: int = 150, overlap: int = 80, **parent) -> list[Chunk]:
+def split_children(text: str, meaning: Meaning | None = None, most: int = 800, least: int = 150, overlap: int = 80, parent: dict | None = None) -> list[Chunk]:
     """Parents, then their children: whole, by meaning (given a ``Meaning`` and a varied parent) or by length. A child
-    that does not show its section's title early gets it as a prefix."""
+    that does not show its section's title early gets it as a prefix. ``parent``: the arguments of ``parents``."""
     if not text.strip():
         return []
     out: list[Chunk] = []
-    made = parents(text, **parent)
+    made = parents(text, **(parent or {}))
     if not made:
         return [(text.strip(), {"parent_idx": 0, "child_idx": 0, "parent_type": "document", "split_method": "none", "chunk_idx": 0})]
     for p_idx, p in enumerate(made):

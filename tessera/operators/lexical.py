@@ -39,7 +39,8 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", term_column: Column | None = None, **how) -> Index:
         found = docs.select(F.col(doc_id).alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
-        postings = found.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        # outer: else a filter on the array is put below, and all terms are made twice
+        postings = found.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"))
         lengths = found.groupBy("id").agg(F.sum(F.coalesce(F.size("terms"), F.lit(0)).cast("long")).alias("dl"))
         frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
         return cls(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
@@ -114,6 +115,6 @@ def search_texts(docs: DataFrame, queries: DataFrame, k: int = 20, allowed: Colu
     kind = queries.schema["query_id"].dataType.simpleString()
     table = F.broadcast(spark.createDataFrame(weights, f"query_id {kind}, term string, w double"))  # a row a query's term
     tf = (F.size("hits") - F.size(F.array_remove(F.col("hits"), F.col("term")))).cast("double")
-    met = rows.where(F.col("ok") & (F.size("hits") > 0)).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", tf.alias("tf")).join(table, "term")
+    met = rows.select("id", "dl", F.when(F.col("ok"), F.col("hits")).alias("hits")).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", tf.alias("tf")).join(table, "term")
     each = F.col("w") * (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / average)) + DELTA)
     return best(met.groupBy("query_id", "id").agg(F.round(F.sum(each), 9).alias("score")).where("score > 0"), k)

@@ -1,7 +1,7 @@
 """Query understanding: filters, tags, synonyms, variants, class and strategy, history.
 
-Queries are rows, so all rules are expressions over a text column; what builds lists of variants in order is a
-vectorised UDF. A null or empty query stays as it is, has no filter and the class ``general``.
+Queries are rows, so rules are expressions over a text column; what adds synonyms or builds lists of variants in order
+is a vectorised UDF. A null or empty query stays as it is, has no filter and the class ``general``.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ def filters(query: Column) -> Column:
 def without_filters(query: Column) -> Column:
     """The query less its explicit filters; all of it if nothing else is there."""
     left = strip(F.regexp_replace(F.regexp_replace(query, "(?i)" + JAVA + EXPLICIT, " "), r"(?U)\s+", " "))
-    any_filter = reduce(lambda a, b: a | b, (filters(query)[k].isNotNull() for k in ("vendor", "eda", "layer_count", "copper_oz", "source_type", "effective_date")))
+    asked = lambda f: reduce(lambda a, b: a | b, (f[k].isNotNull() for k in ("vendor", "eda", "layer_count", "copper_oz", "source_type", "effective_date")))
+    any_filter = F.transform(F.array(filters(query)), asked)[0]  # bound once
     return F.when(any_filter & (left != ""), left).otherwise(query)
 
 
@@ -60,23 +61,33 @@ def with_tags(query: Column) -> Column:
     return strip(F.regexp_replace(F.when(F.size(tags) > 0, F.concat(query, F.lit(" "), F.array_join(tags, " "))).otherwise(query), r"(?U)\s+", " "))
 
 
-def synonyms_of(query: Column, most: int = 6) -> Column:
-    """Synonyms to add: of the terms that come first in the query first; none that is there already, each once."""
-    low = F.lower(query)
-    rows = [(t, i, s) for t, ss in SYNONYMS.items() for i, s in enumerate(ss)]
-    table = F.array(*(F.struct(F.lit(t.lower()).alias("t"), F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(n).alias("n")) for n, (t, i, s) in enumerate(rows)))
-    fit = F.filter(table, lambda e: low.contains(e["t"]) & ~low.contains(F.lower(e["s"])))
-    # the first row of a synonym stands for it, as rows are in the order of the list
-    firsts = F.filter(fit, lambda e: ~F.exists(fit, lambda o: (o["n"] < e["n"]) & (F.lower(o["s"]) == F.lower(e["s"]))))
-    place = lambda e: F.call_function("instr", low, e["t"]) * 100 + e["i"]
-    ranked = F.array_sort(F.transform(firsts, lambda e: F.struct(place(e).alias("p"), e["n"].alias("n"), e["s"].alias("s"))))
-    n = F.when(F.length(query) > 30, min(most, 3)).when(F.length(query) < 10, min(most + 2, 7)).otherwise(most)
-    return F.transform(F.slice(ranked, F.lit(1), n), lambda e: e["s"])
+def tagged(query: str) -> str:
+    """``with_tags`` for one query."""
+    tags = list(dict.fromkeys(re.findall(r"<([a-zA-Z_][a-zA-Z0-9_:.-]*)>", query)))
+    return " ".join(" ".join([query, *tags]).split())
+
+
+def expanded(query: str, most: int = 6) -> str:
+    """The query and its synonyms: of the terms that come first in it first; none that is there already, each once."""
+    low, found = query.lower(), {}
+    for term, others in SYNONYMS.items():
+        at = low.find(term.lower())
+        for i, other in enumerate(others if at >= 0 else ()):
+            if other.lower() not in low:
+                found.setdefault(other.lower(), (at * 100 + i, other))
+    n = min(most, 3) if len(query) > 30 else min(most + 2, 7) if len(query) < 10 else most
+    return " ".join([query, *(s for _, s in sorted(found.values(), key=lambda x: x[0])[:n])])
 
 
 def with_synonyms(query: Column, most: int = 6) -> Column:
-    more = synonyms_of(query, most)
-    return F.when(F.size(more) > 0, F.concat(query, F.lit(" "), F.array_join(more, " "))).otherwise(query)
+    """``expanded`` for a column of queries."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([expanded(q, most) if q else q for q in s], dtype=object)
+
+    return run(query)
 
 
 def _add(out: list[str], variant: str, most: int) -> None:
@@ -130,11 +141,11 @@ def variants(query: Column, most: int = 7) -> Column:
     """Variants of a query as an array, itself first."""
 
     @F.pandas_udf("array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([all_variants(q, t, e, most) if q else [q] for q, t, e in zip(*parts, strict=True)], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([all_variants(q, tagged(q), expanded(q), most) if q else [q] for q in s], dtype=object)
 
-    return run(query, with_tags(query), with_synonyms(query))
+    return run(query)
 
 
 def rewritten(query: str, generate: Generate | None, n: int = 4) -> list[str]:

@@ -97,19 +97,34 @@ def similar_pairs(rows: DataFrame, others: DataFrame, least: float, key: str, ve
     return a.join(b, "key").withColumn("score", cosine(F.col("a"), F.col("b"))).where(F.col("score") >= least).select("key", "id", "other", "score")
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, width: float = 0.5, seed: int = 17, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """Top-k among the vectors that share a bucket with the query in one of ``tables`` random projections."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    scale = Normalizer(inputCol="raw", outputCol="features", p=2.0)
-    usable = F.aggregate(F.col(embedding), F.lit(0.0), lambda s, x: s + x.cast("double") * x) > 0
-    ready = lambda df, i: scale.transform(df.where(usable).select(F.col(i).alias("key"), array_to_vector(F.col(embedding).cast("array<double>")).alias("raw")))
-    base, asked = ready(vectors, vec_id), ready(queries, query_id)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(base)
-    near = model.approxSimilarityJoin(asked, base, 2.0, distCol="d")
-    scored = near.select(F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    return best(scored, k)
+def codes(df: DataFrame, vec_id: str, embedding: str, planes: np.ndarray) -> DataFrame:
+    """``id, t, code, v`` for each usable vector and each of the tables: on which sides of the table's planes it lies."""
+    kind = df.schema[vec_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, rows = _unit(b.column(1).to_pylist(), planes.shape[2])
+            bits = np.einsum("nd,tbd->ntb", x, planes) > 0
+            code = (bits * (1 << np.arange(planes.shape[1]))).sum(axis=2)
+            ids, n = b.column(0).take(pa.array(rows)), planes.shape[0]
+            at = np.repeat(np.arange(len(rows)), n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(rows))), pa.array(code.reshape(-1).astype(np.int64)), pa.array(x.tolist(), pa.list_(pa.float64())).take(pa.array(at))], names=["id", "t", "code", "v"])
+
+    return df.select(vec_id, embedding).mapInArrow(run, f"id {kind}, t int, code long, v array<double>")
+
+
+def approximate(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16, bits: int = 4, seed: int = 17, vec_id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """Top-k among the vectors that lie in the query's cell in one of ``tables`` sets of ``bits`` random planes.
+
+    More bits make cells smaller, more tables find more. Cells meet in a join, a candidate of a query is scored once.
+    """
+    first = queries.where(F.size(embedding) > 0).select(F.size(embedding).alias("n")).first()
+    if first is None:
+        return search(vectors, queries, k, vec_id, embedding, query_id)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, first.n))
+    asked = codes(queries, query_id, embedding, planes).select(F.col("id").alias("query_id"), "t", "code", F.col("v").alias("q"))
+    met = codes(vectors, vec_id, embedding, planes).join(asked, ["t", "code"]).groupBy("query_id", "id").agg(F.first("v").alias("v"), F.first("q").alias("q"))
+    return best(met.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 12).alias("score")), k)
 
 
 def max_similarity(query_tokens: Column, doc_tokens: Column) -> Column:

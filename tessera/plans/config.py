@@ -12,6 +12,8 @@ class Settings:
     structure_max: int = 2000
     structure_min: int = 200
     structure_overlap: int = 100
+    #: Short sections are kept by merging them; False drops them.
+    keep_short: bool = True
     parent_max: int = 3000
     parent_min: int = 200
     parent_min_section: int = 120

@@ -29,10 +29,11 @@ MOST_RECORDS = 20
 def splitter(s: Settings, embed: Callable = hashed) -> tuple[chunking.Splitter, str]:
     """The splitter that the settings name, and the mark of its ids."""
     meaning = chunking.Meaning(embed, s.meaning_max, s.meaning_min, s.meaning_threshold, s.meaning_percentile, s.meaning_overlap, s.meaning_window)
-    parent = {"most": s.child_max, "least": s.child_min, "overlap": s.child_overlap}
+    child = {"most": s.child_max, "least": s.child_min, "overlap": s.child_overlap}
+    parent = {"most": s.parent_max, "least": s.parent_min, "least_section": s.parent_min_section, "keep_short": s.keep_short}
     kinds: dict[str, tuple[chunking.Splitter, str]] = {
-        "structure": (lambda t: chunking.split_structure(t, s.structure_max, s.structure_min, s.structure_overlap), "-"),
-        "parent_child": (lambda t: chunking.split_children(t, meaning, **parent), "-pc-"),
+        "structure": (lambda t: chunking.split_structure(t, s.structure_max, s.structure_min, s.structure_overlap, s.keep_short), "-"),
+        "parent_child": (lambda t: chunking.split_children(t, meaning, **child, parent=parent), "-pc-"),
         "attention": (meaning, "-sem-"),
         "semantic": (lambda t: chunking.split_by_distance(t, embed), "-sd-"),
         "hierarchical": (lambda t: chunking.split_levels(t, s.level_sizes), "-h-"),
@@ -98,7 +99,9 @@ class Engine:
     def search(self, queries: DataFrame) -> DataFrame:
         """``query_id, id, score, rank`` of each query's best chunks over all routes."""
         s, top = self.settings, self.settings.recall
-        asked = self._understood(queries)
+        # the stated queries, worked out once: each route would plan and run their rules again
+        rules = self._understood(queries)
+        asked = self.spark.createDataFrame(rules.collect(), rules.schema)
         wanted = asked.select("query_id", "f", "expanded", F.posexplode("variants").alias("variant", "text"))
         wanted = wanted.select(F.concat_ws("#", "query_id", "variant").alias("key"), "text", *(F.col(f"f.{k}").alias(k) for k in FILTERS))
         chunks = self.chunks()
