@@ -41,7 +41,9 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    # most texts have nothing to strip: their ends tell
+    edge = F.substring(text, 1, 1).rlike(f"[{SPACE}]") | F.substring(text, -1, 1).rlike(f"[{SPACE}]")
+    return F.when(edge, F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]++\z", "")).otherwise(text)
 
 
 def is_valid_char(char: Column) -> Column:
@@ -84,14 +86,13 @@ def clean_text(text: Column, strict: bool = False) -> Column:
 
     ``strict`` also drops runs of three or more accented letters that touch no plain letter, and indents.
     """
-    out = F.regexp_replace(text, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}]+", "")
-    out = F.replace(out, F.lit(REPLACEMENT), F.lit(""))
-    for run in OCR_RUNS:
-        out = F.regexp_replace(out, run, "")
+    debris = rf"\x{{0}}-\x{{8}}\x{{b}}\x{{c}}\x{{e}}-\x{{1f}}{REPLACEMENT}" + "".join(run[1:-2] for run in OCR_RUNS)
     if strict:
         accented = r"\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
-        out = F.regexp_replace(out, rf"(?<![a-zA-Z])[{accented}]{{3,}}(?![a-zA-Z])", "")
-    out = F.regexp_replace(out, f"[^{VALID}{SPACE}]+", "")
+        out = F.regexp_replace(without(text, debris), rf"(?<![a-zA-Z])[{accented}]{{3,}}(?![a-zA-Z])", "")
+        out = F.regexp_replace(out, f"[^{VALID}{SPACE}]+", "")
+    else:  # single characters go, whatever the order, so in one pass
+        out = F.regexp_replace(text, f"(?:[{debris}]|[^{VALID}{SPACE}])+", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     if strict:
         out = F.regexp_replace(out, rf"(?md)^[{SPACE}]+", "")
@@ -108,7 +109,9 @@ def is_aligned_row(line: Column) -> Column:
     bare = strip(line)
     bars = F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit("")))
     columns = F.size(F.filter(F.split(bare, " {2,}"), lambda c: c != ""))
-    return (F.length(bare) >= 4) & ((bars >= 2) | line.contains("\t") | (columns >= 3))
+    row = (F.length(bare) >= 4) & ((bars >= 2) | line.contains("\t") | (columns >= 3))
+    # most lines have nothing that could set columns apart
+    return F.when(line.contains("|") | line.contains("\t") | line.contains("  "), row).otherwise(False)
 
 
 def utf8_length(text: Column) -> Column:
