@@ -45,6 +45,9 @@ PATTERNS = {
     "han": r"[王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗]\p{IsHan}{0,2}?(?=先生|女士|小姐)(?:先生|女士|小姐)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds whose entities may lack both digit and at sign (they all start a word, or are Han); every other kind holds one.
+BARE = ("key", "secret", "hex", "name")
+HINT = _B + "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in BARE) + ")|" + PATTERNS["han"]
 
 _ALPHABETS = [("0-9", "0123456789"), ("a-z", "abcdefghijklmnopqrstuvwxyz"), ("A-Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("а-яё", "абвгдежзиклмнопрстуфхцчшэюя"), ("А-ЯЁ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("ά-ώ", "αβγδεζηθικλμνξοπρστυφχψω"), ("Ά-Ώ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), ("ß-öø-ÿ", "äéíóúüñ"), ("À-ÖØ-Þ", "ÄÉÍÓÚÜÑ")]
 _GIVEN = {
@@ -205,8 +208,8 @@ def _written(m: Column, kind: Column, news: Column) -> Column:
 
 
 def _found(text: Column) -> Column:
-    """All matches of a text, in order; texts without a digit, an at sign or a title are passed by."""
-    return F.when(text.rlike(f"[0-9@]|(?:{_MALE}|{_FEMALE}|Dr|Prof|Sr\\.|M\\.) |先生|女士|小姐"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All matches of a text, in order; texts without a digit, an at sign or an entity that needs neither are passed by."""
+    return F.when(text.rlike("[0-9@]") | text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def resolve(entities: DataFrame, key: str) -> DataFrame:
