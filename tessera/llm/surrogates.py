@@ -31,17 +31,19 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GAP = r"[^\p{L}\p{N}\n]{1,5}"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _MALE, _FEMALE = "Mr|Herr|Herrn|Monsieur|Señor|господин|Господин|κύριος|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|госпожа|Госпожа|κυρία|Κυρία"
+# what has no bound of its own is matched to its end, in possessive steps: they neither go back nor need a stack; the
+# others' bounds are those of their standards (for domains labels of 63 characters, 126 of them and a top one)
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "key": _B + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,256}",
-    "hex": _B + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "key": _B + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+",
+    "hex": _B + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "ip": r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}" + _GAP + r"[0-9]{2,4}" + _GAP + r"[0-9]{3,4}" + _GAP + r"[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
-    "name": _B + f"(?:{_MALE}|{_FEMALE}|Dr|Prof|Sr(?=\\.)|M(?=\\.))\\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": _B + f"(?:{_MALE}|{_FEMALE}|Dr|Prof|Sr(?=\\.)|M(?=\\.))\\.? {_NAME}(?: {_NAME})*+",
     "han": r"[王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗]\p{IsHan}{0,2}?(?=先生|女士|小姐)(?:先生|女士|小姐)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -100,14 +102,17 @@ def _filled(m: Column, d: Column) -> Column:
 def _letters(s: Column, key: str, label: Column, canon: Column, k: Column, hexadecimal: Column) -> Column:
     """Each character replaced by a keyed one of its class."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, form: Column) -> Column:
         use = F.when(hexadecimal & c.rlike("^[a-z]$"), "abcdef").when(hexadecimal & c.rlike("^[A-Z]$"), "ABCDEF")
         for span, alphabet in _ALPHABETS:
             use = use.when(c.rlike(f"^[{span}]$"), alphabet)
-        at = (_number(key, label, canon, k, i) % F.length(use) + 1).cast("int")
+        at = (_number(key, label, form, k, i) % F.length(use) + 1).cast("int")
         return F.coalesce(F.substring(use, at, F.lit(1)), c)
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    # each character hashes the form: of a long one its digest, made once, as the time would else grow with the square
+    form = F.when(F.length(canon) > 256, F.sha2(canon, 256)).otherwise(canon)
+    each = F.transform(F.array(form), lambda f: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, f)), ""))
+    return F.get(each, F.lit(0))
 
 
 def _digits(m: Column) -> Column:
@@ -140,7 +145,7 @@ def units(m: Column, kind: Column) -> Column:
     named = F.transform(tokens, lambda t, i: unit(F.when(i == F.size(tokens) - 1, F.concat(F.lit("surname-"), _script(t))).otherwise(F.concat(F.lit("given-"), _script(t), F.lit("-"), gender)), t))
     plain = (
         F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "ssn", "card"), _digits(m)).when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "secret", F.regexp_extract(m, r"([A-Za-z0-9+/_.~-]{6,256})$", 1)).otherwise(m)
+        .when(kind == "secret", F.regexp_extract(m, r"([A-Za-z0-9+/_.~-]{6,}+)$", 1)).otherwise(m)
     )
     return F.when(kind == "name", named).otherwise(F.array(unit(kind, plain)))
 

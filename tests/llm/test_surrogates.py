@@ -84,3 +84,25 @@ def test_entities_without_a_digit_or_an_at_sign_are_replaced(spark):
 
 def test_every_kind_holds_a_digit_or_an_at_sign_or_is_looked_for_without():
     assert set(surrogates.PATTERNS) == {"email", "iban", "ip", "phone", "ssn", "card", "han", *surrogates.BARE}
+
+
+def test_long_entities_are_replaced_to_their_end(spark):
+    long = ["aZ9_" * 100, "0123456789abcdef" * 9, "ABCDEF0123" * 14, "sk-" + "Ab3" * 30, "x" * 70 + "@a.b.c.d.e.f.g.h.i.j.k.example.abcdefghijklmnopqrstuvwxyz", "bc7" * 20_000]
+    rows = [(0, f"token={long[0]} end"), *((i, f"see {x} end") for i, x in enumerate(long[1:5], 1)), (5, f"secret: {long[5]} end")]
+    rows += [(6, "Mr Juan Carlos Garcia Marquez spoke"), (7, "Mr Marquez spoke"), (8, "Ms Anna Maria Eva Luisa Garcia Marquez spoke")]
+    got = {i: v for (i, _, _), v in run(spark, rows).items()}
+    assert [got[i][1] for i in range(9)] == [1] * 9
+    for i, x in enumerate(long):
+        lead = rows[i][1].index(x)
+        assert got[i][0][:lead] == rows[i][1][:lead]
+        assert got[i][0].endswith(" end")
+        assert len(got[i][0]) == len(rows[i][1])
+        new = got[i][0][lead:-4]
+        same = [a == b and a.isalnum() for a, b in zip(x, new, strict=True)]
+        assert sum(same[: x.find("@")]) < len(x) / 2, x  # of an address the top-level domain stays
+        assert not any(all(same[j : j + 30]) for j in range(len(x) - 30)), x
+    surname = re.fullmatch(r"Mr (\S+) spoke", got[7][0])[1]
+    assert surname != "Marquez"
+    assert re.fullmatch(rf"Mr (\S+) (\S+) (\S+) {surname} spoke", got[6][0])
+    assert re.fullmatch(rf"Ms (\S+ ){{5}}{surname} spoke", got[8][0])
+    assert not {"Juan", "Carlos", "Garcia"} & set(got[6][0].split())
