@@ -2,7 +2,8 @@
 
 The pre-tokenisers of the supported files never join characters across the pieces found here, so encoding the
 pieces apart gives the ids of the whole text. Texts with characters outside ``PLAIN`` (where Unicode tables of the
-libraries might differ) go to the library whole, as do all texts under other tokeniser files.
+libraries might differ) go to the library whole, as do texts that hold an added token's content, which has an id of its
+own, and all texts under other tokeniser files.
 """
 
 from __future__ import annotations
@@ -58,7 +59,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, normal, self.find, self.lower = spec["pre_tokenizer"], spec.get("normalizer"), None, False
@@ -66,13 +66,17 @@ class Encoder:
             self.find = BYTE_LEVEL.findall
         elif normal and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and "[\\p{N}]|" in json.dumps(before).replace("\\\\", "\\"):
             self.find, self.lower = LOWERED.findall, True
+        added = spec.get("added_tokens") or []
+        self.added = [x["content"] for x in added]
+        if any(x.get("normalized") for x in added):  # found in the normalised text only
+            self.find = None
         self.kept = _Kept(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.find is None or not PLAIN.fullmatch(text):
+        if self.find is None or not PLAIN.fullmatch(text) or any(x in text for x in self.added):
             return self.whole(text)
         return b"".join(map(self.kept.__getitem__, self.find(text.lower() if self.lower else text)))
 

@@ -22,6 +22,17 @@ def test_pieces_give_the_ids_of_the_whole_text(name, text):
     assert e(text) == e.whole(text)
 
 
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "<|startoftext|>one", "a<|endoftext|><|endoftext|>b", "One <|EndOfText|> two", "<|endoftext", "ς <|endoftext|>"])
+def test_added_tokens_have_the_ids_of_the_library(name, text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary(name)).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(vocabulary(name))(text), "<u4").tolist() == plain
+    if text == "one <|endoftext|> two":
+        assert plain == {FILES[0]: [637, 49407, 1237], FILES[1]: [505, 220, 50256, 734]}[name]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=700), st.data())
 def test_blocks_round_trip(ids, data):
