@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Scratch tables written so far and not yet released, by application.
-_written: dict[str, list[str]] = {}
+#: Scratch tables that this thread has written and not yet released, by application.
+_local = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +34,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> list[str]:
+    by_application = _local.__dict__.setdefault("written", {})
+    return by_application.setdefault(spark.sparkContext.applicationId, [])
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables of results that have been stored elsewhere."""
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def written(spark: SparkSession) -> int:
+    """How many scratch tables this thread holds: where an operator starts, see ``settle``."""
+    return len(_tables(spark))
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes this thread's scratch tables, for results that have been stored elsewhere."""
+    held, jvm = _tables(spark), spark.sparkContext._jvm
+    for path in held[since:until]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del held[since:until]
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` as a table in the shared folder; the scratch tables written from ``since`` on, from which it was made,
+    are deleted. An operator so leaves one table, which its lazy result reads, until ``release``."""
+    out = keep(df, name)
+    release(df.sparkSession, since, -1)
+    return out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

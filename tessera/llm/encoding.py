@@ -1,4 +1,4 @@
-"""Whole texts to token ids with the tokenizers library, each distinct piece encoded once per worker.
+"""Whole texts to token ids with the tokenizers library, frequent pieces encoded once per task.
 
 The pre-tokenisers of the supported files never join characters across the pieces found here, so encoding the
 pieces apart gives the ids of the whole text. Texts with characters outside ``PLAIN`` (where Unicode tables of the
@@ -12,7 +12,6 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
 
 import numpy as np
 
@@ -23,8 +22,8 @@ _SPACES = r"\t\n\r "
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ſ‐-‧А-яぁ-ゖァ-ヺ一-龥]*")
 BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 LOWERED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-#: Pieces kept by a worker, twice: a bound on its memory, not on what is encoded.
-MOST_KEPT = 300_000
+#: Bytes of the pieces that a task keeps, twice: a bound on its memory, not on what is encoded.
+MOST_KEPT = 8 << 20
 
 #: The characters by which byte-level models write bytes: printable ones as they are, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,7 +35,7 @@ class _Kept(dict):
     in use come back."""
 
     def __init__(self, model) -> None:
-        self.tokenize, self.elder = model.tokenize, {}
+        self.tokenize, self.elder, self.room = model.tokenize, {}, MOST_KEPT
 
     def __missing__(self, piece: str) -> bytes:
         out = self.elder.get(piece)
@@ -44,17 +43,21 @@ class _Kept(dict):
             # what the byte-level step makes of a piece of PLAIN characters, in lower case already where that is asked
             ids = [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
             out = array("I", ids).tobytes()
-        if len(self) >= MOST_KEPT:
-            self.elder = dict(self)
+        self.room -= 250 + 4 * len(piece) + len(out)  # both objects and their place in the table, at most
+        if self.room < 0:
+            self.elder, self.room = dict(self), MOST_KEPT
             self.clear()
         self[piece] = out
         return out
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts, and the end id after them, as little-endian unsigned 32-bit bytes; a null text is empty.
 
-    def __init__(self, path: str) -> None:
+    A task makes its own, so that a reused worker does not hold one task's vocabulary and pieces through the next.
+    """
+
+    def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,28 +73,14 @@ class Encoder:
         self.added = [x["content"] for x in added]
         if any(x.get("normalized") for x in added):  # found in the normalised text only
             self.find = None
-        self.kept = _Kept(self.tokenizer.model)
+        self.kept, self.end = _Kept(self.tokenizer.model), np.asarray([end], "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return self.end
         if self.find is None or not PLAIN.fullmatch(text) or any(x in text for x in self.added):
-            return self.whole(text)
-        return b"".join(map(self.kept.__getitem__, self.find(text.lower() if self.lower else text)))
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file, made once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def encode_all(path: str, texts: Iterable[str | None], end: int) -> list[bytes]:
-    """Ids of each text and the end id; a null text is empty."""
-    e, last = encoder(path), np.asarray([end], "<u4").tobytes()
-    return [(e(t) if t else b"") + last for t in texts]
+            return self.whole(text) + self.end
+        return b"".join(map(self.kept.__getitem__, self.find(text.lower() if self.lower else text))) + self.end

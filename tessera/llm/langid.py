@@ -21,26 +21,33 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
+
 BINS = 1 << 14
+#: Characters counted at a time; bounds the memory that a text of any length takes.
+CHUNK = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: For each code point of the basic plane: itself if it is a letter, else the space.
 _FOLD = np.array([i if chr(i).isalpha() else 32 for i in range(0x10000)], np.uint32)
 
 
-def grams(text: str) -> np.ndarray:
-    """Bins of the trigrams of lower-cased letters; other runs count as one space."""
-    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = np.where(a < 0x10000, _FOLD[np.minimum(a, 0xFFFF)], a)
-    a = np.concatenate([[32], a, [32]]).astype(np.uint32)
-    space = a == 32
-    stay = ~(space & np.concatenate([[False], space[:-1]]))
-    a = a[stay]
-    if a.size < 3:
-        return np.empty(0, np.int64)
-    h = a[:-2] * _M[0] + a[1:-1] * _M[1] + a[2:] * _M[2]
-    h ^= h >> np.uint32(15)
-    return ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(18)).astype(np.int64)
+def gram_counts(text: str) -> np.ndarray:
+    """How many trigrams of lower-cased letters fall in each bin; runs of anything else count as one space."""
+    counts, before = np.zeros(BINS, np.int64), np.array([32], np.uint32)
+    text = text.lower()
+    for at in range(0, len(text), CHUNK):
+        a = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        a = np.where(a < 0x10000, _FOLD[np.minimum(a, 0xFFFF)], a)
+        a = np.concatenate([before, a, [32] * (at + CHUNK >= len(text))]).astype(np.uint32)
+        space = a == 32
+        a = a[~(space & np.concatenate([[False], space[:-1]]))]
+        if a.size >= 3:
+            h = a[:-2] * _M[0] + a[1:-1] * _M[1] + a[2:] * _M[2]
+            h ^= h >> np.uint32(15)
+            counts += np.bincount(((h * np.uint32(0x2C1B3C6D)) >> np.uint32(18)).astype(np.int64), minlength=BINS)
+        before = a[-2:]
+    return counts
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -52,12 +59,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lang not in held:
-                    held[lang] = np.zeros(BINS, np.int64)
-                g = grams(text)
-                if g.size:
-                    held[lang] += np.bincount(g, minlength=BINS)
+            for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                held[lang] = held.get(lang, 0) + gram_counts(text.as_py())
         for lang, counts in held.items():
             found = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * found.size, pa.string()), pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["lang", "gram", "n"])
@@ -92,7 +95,7 @@ def infer(probabilities: np.ndarray, text: str) -> np.ndarray | None:
     proportion on, each whose part in the likelihood is below its penalty."""
     if not _LETTER.search(text):
         return None
-    g = np.bincount(grams(text), minlength=BINS)
+    g = gram_counts(text)
     found = np.flatnonzero(g)
     weight, p = g[found].astype(float), probabilities[found]
     total = weight.sum()
@@ -128,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         p = shared.value.astype(np.float64)
         for b in batches:
             names, scores = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in (x.as_py() for x in b.column(b.num_columns - 1)):
                 theta = infer(p, text) if text and langs else None
                 names.append("und" if theta is None else langs[int(theta.argmax())])
                 scores.append(0.0 if theta is None else min(1.0, float(theta.max())))
@@ -136,4 +139,5 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     schema = docs.drop("lang_pred", "score").schema
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    (name,) = unused(docs, "read_text")
+    return docs.select(*kept, F.col("text").cast("string").alias(name)).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))

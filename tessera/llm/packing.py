@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep
-from tessera.llm.encoding import encode_all
+from tessera.llm.encoding import Encoder
 
 #: Pieces whose ranks are counted together.
 CHUNK_ROWS = 4096
@@ -115,11 +115,11 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFram
     """``doc_id, piece, start, length, ids_crc32`` of the pieces that the texts' ids are cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer, end)
         for b in batches:
             out: list[list[int]] = [[], [], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                (ids,) = encode_all(tokenizer, [text.as_py()], end)
+                ids = encode(text.as_py())
                 size, at, k = len(ids) // 4, 0, 0
                 while at < size:
                     to = at + ((size - at) % capacity or capacity)

@@ -15,7 +15,7 @@ _rng = np.random.default_rng(77)
 _PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at a time; bounds the memory that a text of any length takes.
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

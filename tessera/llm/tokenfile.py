@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, shuffle_width
-from tessera.llm.encoding import encode_all
+from tessera.llm.encoding import Encoder
 
 MAGIC, BLOCK, PERCENTILE = b"PFOR1\0\0\0", 256, 90
 #: Ids after which a shard is closed at the next document's end.
@@ -137,6 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         names, lengths, data, size = [], [], [], 0
+        encode = Encoder(tokenizer, end)
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(data), "<u4")
@@ -144,7 +145,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                (one,) = encode_all(tokenizer, [text.as_py()], end)
+                one = encode(text.as_py())
                 if names and size + len(one) // 4 > SHARD_IDS:
                     yield close()
                     names, lengths, data, size, shard, before = [], [], [], 0, shard + 1, before + size
