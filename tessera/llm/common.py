@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a table that is broadcast, at most.
+BROADCAST_BYTES = 32 << 20
 #: Scratch tables that this thread has written and not yet released, by application.
 _local = threading.local()
 
@@ -80,6 +82,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, marked for broadcast if all its rows, at ``row_bytes`` at most, stay within
+    ``BROADCAST_BYTES``; a larger one is left to a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

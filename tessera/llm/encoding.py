@@ -23,7 +23,7 @@ PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ſ‐-‧А-яぁ-ゖァ-ヺ一-龥]
 BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 LOWERED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 #: Bytes of the pieces that a task keeps, twice: a bound on its memory, not on what is encoded.
-MOST_KEPT = 8 << 20
+MOST_KEPT = 32 << 20
 
 #: The characters by which byte-level models write bytes: printable ones as they are, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,8 +41,11 @@ class _Kept(dict):
         out = self.elder.get(piece)
         if out is None:
             # what the byte-level step makes of a piece of PLAIN characters, in lower case already where that is asked
-            ids = [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            out = array("I", ids).tobytes()
+            if piece.isascii() and piece.isprintable():
+                piece_bytes = piece.replace(" ", _BYTE_CHARS[32])
+            else:
+                piece_bytes = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            out = array("I", [x.id for x in self.tokenize(piece_bytes)]).tobytes()
         self.room -= 250 + 4 * len(piece) + len(out)  # both objects and their place in the table, at most
         if self.room < 0:
             self.elder, self.room = dict(self), MOST_KEPT
