@@ -1,17 +1,22 @@
 """PII: keyed surrogates for detected entities, in DataFrame functions only.
 
-Entities are e-mail addresses, IPv4 addresses, telephone numbers, payment cards (Luhn-valid), social security numbers,
-account numbers (IBAN), secrets (access keys, hexadecimal tokens, values of password-like keys) and names after a
-title. A surrogate follows from the secret key and the entity's canonical form alone, so an entity has one everywhere
-(coreference), in the same format: digits for digits, letters for letters of the same script and case, the card's
-first digit and check digit rule, the address's form and top-level domain, a given name of the title's gender and
-the name's script. Numbers are mapped by a keyed Feistel permutation, which is one-to-one.
+Entities are e-mail addresses, IPv4 and IPv6 addresses, telephone numbers, payment cards (in the groups that cards are
+written in, Luhn-valid), social security numbers, account numbers (IBAN), secrets (access keys, hexadecimal tokens,
+values of password-like keys), names after a title, and further mentions of such a name's parts in the same document.
+Names that a document never writes after a title are not detected. A surrogate follows from the secret key and the
+entity's canonical form alone, so an entity has one everywhere (coreference), in the same format: digits for digits,
+letters for letters of the same script and case, the card's first digit and check digit rule, the address's form and
+top-level domain, a given name of the same gender and script. The gender is the title's; after a title of either, that
+with which the corpus writes the name elsewhere, else that of the lists below, else the surrogate fits both. Numbers
+are mapped by a keyed Feistel permutation, which is one-to-one.
 
 Distinctness is checked on the corpus's distinct entities: where two have one surrogate, or a surrogate is the
 original of another, all but the first by code point take their next candidate, until none collide.
 
-Cases: null texts stay null; texts of any length are scanned whole; repeated rows are rewritten alike; rows with a null
-id are rewritten too; the table may be empty; columns of other names are kept as they are.
+Cases: null texts stay null; texts of any length are scanned whole; of matches that overlap the first in the text
+stands, of those at one place the first kind of ``PATTERNS``; a mention that is both a given name and a surname of its
+document counts as the given name; repeated rows are rewritten alike; rows with a null id are rewritten too; the table
+may be empty; further columns are kept as they are, whatever their names, but for ``n_entities``, which is replaced.
 """
 
 from __future__ import annotations
@@ -19,17 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep
+from tessera.llm import common
+from tessera.llm.common import keep, settle, unused, written
 
-#: Documents with entities, up to this many, are broadcast with their maps; more are joined by shuffle.
-MOST_BROADCAST = 100_000
 #: Candidates of an entity before the number of its letters grows.
 ROUNDS = 12
 
 _B = r"(?<![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _GAP = r"[^\p{L}\p{N}\n]{1,5}"
-_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+# apostrophes and hyphens stand within a name; that of a genitive does not belong to it
+_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?![sS](?!\p{L})))++"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _MALE, _FEMALE = "Mr|Herr|Herrn|Monsieur|Señor|господин|Господин|κύριος|Κύριος", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|госпожа|Госпожа|κυρία|Κυρία"
 # what has no bound of its own is matched to its end, in possessive steps: they neither go back nor need a stack; the
 # others' bounds are those of their standards (for domains labels of 63 characters, 126 of them and a top one)
@@ -42,11 +48,15 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}" + _GAP + r"[0-9]{2,4}" + _GAP + r"[0-9]{3,4}" + _GAP + r"[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]*[0-9])(?:(?:" + _HEX + ":){7}" + _HEX + "|(?:" + _HEX + ":){1,6}(?::" + _HEX + r"){1,6})(?![\p{L}\p{N}:])",
     "name": _B + f"(?:{_MALE}|{_FEMALE}|Dr|Prof|Sr(?=\\.)|M(?=\\.))\\.? {_NAME}(?: {_NAME})*+",
     "han": r"[王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗]\p{IsHan}{0,2}?(?=先生|女士|小姐)(?:先生|女士|小姐)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: How cards are written. They are looked for at every place, and those of a wrong check sum are no match that could
+#: hide another; so they are not among the patterns, but added to them for a text, as they stand there.
+CARDS = [r"[2-6][0-9]{12,18}", *(r"[2-6][0-9]{3}" + "".join(f"[ -][0-9]{{{n}}}" for n in groups) for groups in ((4, 4, 4), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (6, 5), (6, 4)))]
+CARD_HINT = r"[0-9]{4}[ -]?[0-9]{4}[0-9]?[ -]?[0-9]"
 #: Kinds whose entities may lack both digit and at sign (they all start a word, or are Han); every other kind holds one.
 BARE = ("key", "secret", "hex", "name")
 HINT = _B + "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in BARE) + ")|" + PATTERNS["han"]
@@ -55,11 +65,14 @@ _ALPHABETS = [("0-9", "0123456789"), ("a-z", "abcdefghijklmnopqrstuvwxyz"), ("A-
 _GIVEN = {
     ("latin", "m"): "Adam Anton Boris Bruno Carl Clemens Daniel David Emil Erik Felix Frank Georg Gustav Hector Hugo Ivan Jakob Jonas Karl Lars Leon Lukas Marco Martin Max Nils Oliver Oscar Paul Peter Ralf Robert Simon Stefan Theo Thomas Tom Victor Walter",
     ("latin", "f"): "Ada Agnes Alice Anna Bella Berta Carla Clara Diana Dora Edith Elena Emma Eva Flora Frida Greta Hanna Helen Ida Irene Iris Jana Julia Karin Laura Lea Lena Linda Lucy Maria Marta Mia Nina Nora Olga Paula Rosa Sara Vera",
+    ("latin", "n"): "Alex Charlie Chris Dominique Eike Jo Kim Lou Maxime Noel Pat Robin Sam Sascha Toni",
     ("cyrillic", "m"): "Алексей Андрей Антон Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур Фёдор",
     ("cyrillic", "f"): "Алиса Алла Анна Вера Галина Дарья Елена Жанна Зоя Инна Ирина Лидия Майя Мария Нина Ольга Полина Раиса София Юлия",
+    ("cyrillic", "n"): "Валя Женя Паша Саша Слава Шура",
     ("greek", "m"): "Αλέξανδρος Ανδρέας Γιώργος Δημήτρης Ηλίας Κώστας Λεωνίδας Μάριος Νίκος Πέτρος Σταύρος Χρήστος",
     ("greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Ζωή Κατερίνα Μαρία Νίκη Σοφία Χριστίνα",
 }
+_GIVEN["greek", "n"] = _GIVEN["greek", "m"] + " " + _GIVEN["greek", "f"]
 _SURNAME = {
     "latin": "Abel Albers Arden Baker Barlow Becker Berg Blake Brandt Carver Castillo Conrad Dahl Dixon Duval Ebert Ellis Falk Ferrer Fischer Garner Gomez Graf Haas Hale Hartmann Iversen Jansen Keller Kramer Lang Larsen Lopez Marchand Mercer Moreau Nash Navarro Olsen Ortega Palmer Perrin Quinn Reyes Richter Roth Salas Sommer Stark Thorne Turner Ulrich Vance Vidal Weber Winter York Zeller",
     "cyrillic": "Белов Волков Громов Давыдов Ершов Жуков Зимин Калинин Лебедев Морозов Никитин Орлов Павлов Рябов Соколов Титов Ушаков Фомин Чернов Щукин",
@@ -119,14 +132,21 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def cards(text: Column) -> Column:
+    """The distinct cards of a text, the longest first."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({c})(?![0-9]))"), F.lit(1)) for c in CARDS)))
+    valid = F.filter(F.array_distinct(found), lambda m: _luhn(_digits(m)) % 10 == 0)
+    longest = F.transform(F.array_sort(F.transform(valid, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
+    return F.when(text.rlike(CARD_HINT), longest).otherwise(F.array().cast("array<string>"))
+
+
 def kind_of(m: Column) -> Column:
-    """The kind of a whole match."""
+    """The kind of a whole match. A match ends where it ends: what follows it in the text is no longer there to look at."""
     out = None
     for kind, pattern in PATTERNS.items():
-        # a match ends where it ends: what follows it in the text is no longer there to look at
-        test = m.rlike(f"^(?:{pattern})$") if kind != "card" else m.rlike(f"^(?:{pattern})$") & (_luhn(_digits(m)) % 10 == 0)
+        test = m.rlike(f"^(?:{pattern})$")
         out = F.when(test, F.lit(kind)) if out is None else out.when(test, F.lit(kind))
-    return out
+    return out.when(m.rlike("^[0-9 -]+$"), F.lit("card"))
 
 
 _TITLE = f"^((?:{_MALE}|{_FEMALE}|Dr|Prof|Sr|M)\\.? )"
@@ -141,11 +161,11 @@ def units(m: Column, kind: Column) -> Column:
     surname, the others are given names, so that a full name and the surname alone go together."""
     unit = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
     tokens = F.split(F.regexp_replace(m, _TITLE, ""), " ")
-    gender = F.when(m.rlike(f"^(?:{_FEMALE})[. ]"), "f").otherwise("m")
+    gender = F.when(m.rlike(f"^(?:{_FEMALE})[. ]"), "f").when(m.rlike("^(?:Dr|Prof)[. ]"), "n").otherwise("m")
     named = F.transform(tokens, lambda t, i: unit(F.when(i == F.size(tokens) - 1, F.concat(F.lit("surname-"), _script(t))).otherwise(F.concat(F.lit("given-"), _script(t), F.lit("-"), gender)), t))
     plain = (
         F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "ssn", "card"), _digits(m)).when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "secret", F.regexp_extract(m, r"([A-Za-z0-9+/_.~-]{6,}+)$", 1)).otherwise(m)
+        .when(kind == "ip6", F.lower(m)).when(kind == "secret", F.regexp_extract(m, r"([A-Za-z0-9+/_.~-]{6,}+)$", 1)).otherwise(m)
     )
     return F.when(kind == "name", named).otherwise(F.array(unit(kind, plain)))
 
@@ -165,7 +185,7 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
         pool = F.when(kind == name, names) if pool is None else pool.when(kind == name, names)
     staged = entities.withColumns({
         "_number": number, "_pool": F.split(pool, " "), "_head": F.regexp_extract(canon, r"^(AKIA|gh[pousr]_|sk-|[A-Z]{2}(?=[0-9]{2}))", 1),
-        "_hex": (kind == "hex") | ((kind == "secret") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "_local": F.substring(canon, F.lit(1), at - 1),
+        "_hex": kind.isin("hex", "ip6") | ((kind == "secret") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "_local": F.substring(canon, F.lit(1), at - 1),
         "_host": F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), "_domain": domain, "_top": top, "_octets": F.when(kind == "ip", F.transform(F.split(canon, r"\."), lambda x: x.try_cast("long"))),
     })
     octet = lambda i: F.get("_octets", F.lit(i))
@@ -186,8 +206,8 @@ def candidates(entities: DataFrame, key: str) -> DataFrame:
     head = F.col("_head")
     lettered = (
         F.when(kind == "email", F.concat(_letters(F.col("_local"), key, F.lit("local"), canon, k, no), longer, F.lit("@"), _letters(F.col("_host"), key, F.lit("host"), F.col("_domain"), F.lit(0), no), F.col("_top")))
-        .when(kind.isin("key", "iban", "hex", "secret"), F.concat(F.when(kind.isin("key", "iban"), head).otherwise(""), _letters(F.when(kind.isin("key", "iban"), F.substring(canon, F.length(head) + 1, n)).otherwise(canon), key, kind, canon, k, F.col("_hex"))))
-        .when(kind == "han", F.concat(first, F.array_join(rest, ""), title)).when(F.col("_pool").isNotNull(), named)
+        .when(kind.isin("key", "iban", "hex", "secret", "ip6"), F.concat(F.when(kind.isin("key", "iban"), head).otherwise(""), _letters(F.when(kind.isin("key", "iban"), F.substring(canon, F.length(head) + 1, n)).otherwise(canon), key, kind, canon, k, F.col("_hex"))))
+        .when(kind == "han", F.concat(first, F.array_join(rest, ""), title)).when(F.col("_pool").isNotNull(), F.when((kind == "surname-cyrillic") & canon.endswith("а"), F.concat(named, F.lit("а"))).otherwise(named))
     )
     staged = staged.withColumns({"_new": lettered, "_high": F.when(kind == "ip", high), "_low": F.when(kind == "ip", low), "_moved": F.when(F.col("_number").isNotNull(), _permuted(F.col("_number"), key, "number", k))})
     body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), "_moved")
@@ -203,7 +223,7 @@ def _written(m: Column, kind: Column, news: Column) -> Column:
     """The match with the surrogates of its units, in its own format."""
     new = news[0]
     return (
-        F.when(kind == "email", F.when(m.rlike("^[^a-z]*$"), F.upper(new)).otherwise(new))
+        F.when(kind.isin("email", "ip6"), F.when(m.rlike("^[^a-z]*$"), F.upper(new)).otherwise(new))
         .when(kind == "name", F.concat(F.regexp_extract(m, _TITLE, 1), F.array_join(news, " ")))
         .when(kind.isin("phone", "ssn", "card"), _filled(m, new))
         .when(kind == "secret", F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(new)), new))
@@ -217,6 +237,26 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]") | text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _pattern(numbers: Column, mentions: Column) -> Column:
+    """The pattern for one text: all kinds, its cards, and the parts of its names."""
+    also = lambda of, before, after: F.when(F.size(of) > 0, F.concat(F.lit(f"|{before}(?:"), F.array_join(of, "|"), F.lit(f"){after}"))).otherwise("")
+    return F.concat(F.lit(PATTERN), also(numbers, "(?<![0-9])", "(?![0-9])"), also(mentions, _B + r"(?<![\p{L}\p{N}]-)", r"(?!-?[\p{L}\p{N}])"))
+
+
+def genders(parts: DataFrame) -> DataFrame:
+    """``parts`` with the kind of given names after a title of either gender: as elsewhere in the corpus, if it is one
+    there, else as in the lists."""
+    either = F.col("kind").startswith("given-") & F.col("kind").endswith("-n")
+    known = parts.where(F.col("kind").startswith("given-") & ~either).groupBy("canon").agg(F.min("kind").alias("one"), F.max("kind").alias("other")).where("one = other").select("canon", F.col("one").alias("known"))
+    listed = None
+    for (script, gender), names in _GIVEN.items():
+        if gender != "n":
+            test, kind = F.col("canon").isin(*names.split()), F.lit(f"given-{script}-{gender}")
+            listed = F.when(test, kind) if listed is None else listed.when(test, kind)
+    out = parts.join(known, "canon", "left").withColumn("kind", F.when(either, F.coalesce("known", listed, "kind")).otherwise(F.col("kind")))
+    return out.select(*parts.columns)
+
+
 def resolve(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canon, new``: a surrogate of its own for each of the entities (distinct ``kind, canon``)."""
     state = keep(candidates(entities.withColumn("k", F.lit(0)), key), "surrogates")
@@ -238,21 +278,34 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     What is written for a match is worked out once for each distinct match; a text gets the map of its own matches.
     """
+    since = written(docs.sparkSession)
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = own.select("doc_id", F.xxhash64("text").alias("h"), F.array_distinct(_found(F.col("text"))).alias("ms"))
-    seen = keep(found.where(F.size("ms") > 0).select("doc_id", "h", F.explode("ms").alias("m")).distinct(), "matches")
+    found = own.select("doc_id", F.xxhash64("text").alias("h"), F.array_distinct(_found(F.col("text"))).alias("ms"), cards(F.col("text")).alias("cards"))
+    found = keep(found.where((F.size("ms") > 0) | (F.size("cards") > 0)).dropDuplicates(["doc_id", "h"]), "found")
+    seen = found.select("doc_id", "h", F.explode(F.array_distinct(F.concat("ms", "cards"))).alias("m"))
     kinds = keep(seen.select("m").distinct().withColumn("kind", kind_of(F.col("m"))).where("kind is not null"), "kinds")
-    parts = keep(kinds.select("m", "kind", F.posexplode(units(F.col("m"), F.col("kind"))).alias("i", "u")).select("m", F.col("kind").alias("whole"), "i", "u.kind", "u.canon"), "units")
+    parts = kinds.select("m", "kind", F.posexplode(units(F.col("m"), F.col("kind"))).alias("i", "u")).select("m", F.col("kind").alias("whole"), "i", "u.kind", "u.canon")
+    parts = keep(genders(keep(parts, "units")), "gendered")
     new = resolve(parts.select("kind", "canon").distinct(), key)
-    news = parts.join(new, ["kind", "canon"]).groupBy("m", "whole").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("news"))  # the tokens of one match
-    written = keep(news.select("m", _written(F.col("m"), F.col("whole"), F.col("news")).alias("written")), "written")
-    held = seen.join(written, "m").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    held = keep(held.agg(F.map_from_entries(F.collect_list(F.struct("m", "written"))).alias("_new")), "held")  # of one text
-    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
-    text, new_of = F.col("text").cast("string"), F.col("_new")
-    out = docs.drop("n_entities").join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
-    out = out.withColumn("_found", F.when(new_of.isNotNull(), _found(text)))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("_found", lambda m: F.coalesce(F.element_at(new_of, m), m)), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
-    columns = [F.when(new_of.isNotNull(), F.array_join(pieces, "")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_entities"]
-    count = F.when(new_of.isNull(), 0).otherwise(F.size(F.filter("_found", lambda m: F.element_at(new_of, m).isNotNull())))
+    known = keep(parts.join(new, ["kind", "canon"]), "known")
+    news = known.groupBy("m", "whole").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("news"))  # the tokens of one match
+    whole = news.select("m", _written(F.col("m"), F.col("whole"), F.col("news")).alias("written"), F.lit(None).cast("string").alias("kind"), F.col("m").alias("of"))
+    alone = known.where("whole = 'name'").select(F.col("canon").alias("m"), F.col("new").alias("written"), "kind", F.col("m").alias("of"))
+    texts = seen.withColumnRenamed("m", "of").join(keep(whole.unionByName(alone), "written"), "of")
+    # of one text: what is written for its matches; a mention has one kind there
+    texts = texts.groupBy("doc_id", "h", "m").agg(F.min(F.struct("kind", "written")).alias("w"))
+    maps = texts.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("m", "w.written"))).alias("new"), F.collect_list(F.when(F.col("w.kind").isNotNull(), F.col("m"))).alias("mentions"))
+    numbers = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "cards")
+    maps = maps.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "new", _pattern(F.col("cards"), F.col("mentions")).alias("pattern"))
+    docs = docs.drop("n_entities")
+    d, h, new, pattern, matches = unused(docs, "of", "hash", "new", "pattern", "matches")
+    held = settle(maps.toDF(d, h, new, pattern), "held", since)
+    size = held.agg(F.sum(F.length(pattern) + F.length(F.to_json(new))).alias("n")).first().n or 0
+    held = F.broadcast(held) if 4 * size <= common.BROADCAST_BYTES else held
+    text, new_of = F.col("text").cast("string"), F.col(new)
+    out = docs.join(held, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+    out = out.withColumn(matches, F.when(new_of.isNotNull(), F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
+    pieces = F.zip_with(F.split(text, F.col(pattern), F.lit(-1)), F.transform(matches, lambda m: F.coalesce(F.element_at(new_of, m), m)), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+    columns = [F.when(new_of.isNotNull(), F.array_join(pieces, "")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    count = F.when(new_of.isNull(), 0).otherwise(F.size(F.filter(matches, lambda m: F.element_at(new_of, m).isNotNull())))
     return out.select(*columns, count.cast("long").alias("n_entities"))

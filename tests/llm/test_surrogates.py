@@ -1,6 +1,9 @@
-import re
+import random
 
-from tessera.llm import surrogates
+import pytest
+import regex as re
+
+from tessera.llm import common, surrogates
 
 KEY = "a key"
 TEXTS = [
@@ -83,7 +86,7 @@ def test_entities_without_a_digit_or_an_at_sign_are_replaced(spark):
 
 
 def test_every_kind_holds_a_digit_or_an_at_sign_or_is_looked_for_without():
-    assert set(surrogates.PATTERNS) == {"email", "iban", "ip", "phone", "ssn", "card", "han", *surrogates.BARE}
+    assert set(surrogates.PATTERNS) == {"email", "iban", "ip", "ip6", "phone", "ssn", "han", *surrogates.BARE}
 
 
 def test_long_entities_are_replaced_to_their_end(spark):
@@ -106,3 +109,82 @@ def test_long_entities_are_replaced_to_their_end(spark):
     assert re.fullmatch(rf"Mr (\S+) (\S+) (\S+) {surname} spoke", got[6][0])
     assert re.fullmatch(rf"Ms (\S+ ){{5}}{surname} spoke", got[8][0])
     assert not {"Juan", "Carlos", "Garcia"} & set(got[6][0].split())
+
+
+def luhn(m):
+    d = [int(c) for c in m if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def spans(text):
+    """Where a plain Python search finds entities: the patterns are the rule, cards and mentions are found one by one."""
+    kinds = [re.compile(p) for p in surrogates.PATTERNS.values()]
+    names = {t for m in re.finditer(f"(?:{surrogates.PATTERN})", text) if re.fullmatch(surrogates.PATTERNS["name"], m[0]) for t in re.sub(r"^\S+? ", "", m[0]).split(" ")}
+
+    def card(at):
+        best = 0
+        for n in range(13, 24):
+            m, after, before = text[at : at + n], text[at + n : at + n + 1], text[at - 1 : at] if at else ""
+            sizes = [len(x) for x in re.split("[ -]", m)]
+            shape = sizes in ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4]) or sizes[:4] == [4, 4, 4, 4] and len(sizes) == 5 and sizes[4] <= 3 or len(sizes) == 1 and n <= 19
+            if len(m) == n and re.fullmatch("[2-6][0-9 -]+[0-9]", m) and shape and not re.match("[0-9]", after) and not re.match("[0-9]", before) and luhn(m):
+                best = n
+        return best
+
+    out, at = [], 0
+    while at < len(text):
+        m = next((m for k in kinds if (m := k.match(text, at)) and m[0]), None)
+        n = len(m[0]) if m else card(at)
+        if not n:
+            before = text[max(0, at - 2) : at]
+            word = next((w for w in names if text.startswith(w, at) and not re.match(r"-?[\p{L}\p{N}]", text[at + len(w) :])), None)
+            if word and not re.search(r"[\p{L}\p{N}]-?$", before):
+                n = len(word)
+        if n:
+            out.append((at, at + n))
+        at += n or 1
+    return out
+
+
+PARTS = ["Mr. Peter Smithson", "Smithson", "Peter", "Smithson's", "Dr. Anna Weber", "Anna", "Mrs Weber", "Anna-Maria", "078-05-1120", "4411", "123", "555-123-4567", "12", "4111 1111 1111 1111", "4111111111111111", "1234", "4111-1111-1111-1112", "3782 822463 10005", "a@b.org", "10.1.2.3", "fe80::1:2", "2001:db8:0:0:0:0:2:1", "12:30:45", "Foo::bar", "the", "room", "\n", "王小明先生", "token=abcdef12"]
+
+
+@pytest.mark.parametrize("joins", ["broadcast", "shuffle"])
+def test_what_is_replaced_is_what_a_plain_search_finds(spark, monkeypatch, joins):
+    if joins == "shuffle":
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    r = random.Random(11)
+    said = ["Mr. Peter Smithson spoke", "Dr. Anna Weber spoke", "Order 123 555-123-4567 now", "Room 4411 078-05-1120", "Mr. Peter Smithson, 42, lives here. Later Smithson left; Peter too.", "Order 12 4111 1111 1111 1111 and 1234 4111 1111 1111 1111 5"]
+    texts = said + [" ".join(r.choice(PARTS) for _ in range(r.choice([3, 8, 20]))) for _ in range(60)]
+    got = {i: v for (i, _, _), v in run(spark, [*enumerate(texts)]).items()}
+    new_of = {}
+    for i, text in enumerate(texts):
+        found, new = spans(text), got[i][0]
+        assert got[i][1] == len(found), text
+        gaps = [text[a:b] for a, b in zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(text)], strict=True)]
+        shapes = [re.sub(r"\S+", r"\\S+", text[a:b]) if re.search(r"\p{L}", text[a:b]) else re.sub("[0-9]+", "[0-9]+", re.escape(text[a:b])) for a, b in found]
+        m = re.fullmatch("".join(re.escape(g) + f"({s})" for g, s in zip(gaps, shapes)) + re.escape(gaps[-1]), new, re.DOTALL)
+        assert m, (text, new)
+        for (a, b), n in zip(found, m.groups(), strict=True):
+            assert n != text[a:b], (text, new)
+            if not re.match("Anna|Peter|Smithson|Mr|Dr", text[a:b]):
+                assert new_of.setdefault(text[a:b], n) == n
+    assert "Smithson" not in got[4][0] and "Peter" not in got[4][0]
+    full = re.match(r"Mr\. (\S+) (\S+), 42, lives here\. Later (\S+) left; (\S+) too\.", got[4][0])
+    assert (full[1], full[2]) == (full[4], full[3])
+    assert full[1] in surrogates._GIVEN["latin", "m"].split()
+
+
+def test_gender_after_titles_of_either(spark):
+    rows = [(1, "Dr. Anna Weber"), (2, "Prof. Peter Weber"), (3, "Dr. Qwell Weber"), (4, "Dr. Zanni Weber"), (5, "Ms Zanni Weber"), (6, "госпожа Анна Петрова")]
+    got = {i: v[0].split(" ")[-2:] for (i, _, _), v in run(spark, rows).items()}
+    pool = {g: surrogates._GIVEN["latin", g].split() for g in "mfn"}
+    assert [next(g for g in "mfn" if got[i][0] in pool[g]) for i in range(1, 6)] == ["f", "m", "n", "f", "f"]
+    assert got[4] == got[5] and len({got[i][1] for i in range(1, 6)}) == 1
+    assert got[6][0] in surrogates._GIVEN["cyrillic", "f"].split() and got[6][1].endswith("а")
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "x@y.org", 1, 2, 3, 4, 5)], "doc_id long, text string, of int, hash int, New int, pattern int, matches int")
+    (r,) = surrogates.pseudonymise(df, KEY).collect()
+    assert (r.of, r.hash, r.New, r.pattern, r.matches, r.n_entities) == (1, 2, 3, 4, 5, 1)
