@@ -4,12 +4,14 @@ A source's target over its size says how often each of its documents is taken on
 fraction as an inclusion probability. The flight phase of the cube method moves these probabilities within blocks of
 one source through the null space of two constraints (the tokens taken and the documents taken), until at most two
 or so per block are neither 0 nor 1; these are gathered in new blocks, level by level, until one block a source is
-left, where the landing drops the document total, then the token total. Long documents fly first, so that the landing
-decides over short ones. Every draw is a hash of the row and the seed: reruns agree.
+left. There two dozen units, the longest and others of all sizes, stay behind while the rest fly; the landing then
+gives them and what is left of the flight, of all their roundings, the one nearest to the totals: of tokens first, of
+documents where it costs few tokens. Every draw is a hash of the row and the seed: reruns agree.
 
 Cases: a null text has no words; a null source is a source of its own, ordered last; sources without words get the
 target 0 and their documents are not taken; rows equal in id, source and size are decided together, as one unit of
-their total size; an empty table gives an empty mix; further columns are kept by ``apply_mix`` and not read.
+their total size; an empty table gives an empty mix; further columns are kept by ``apply_mix``, whatever their names, and not
+read; texts of any length are counted whole; roundings that are equally near: the first in order of size, then of draws.
 """
 
 from __future__ import annotations
@@ -18,16 +20,18 @@ import hashlib
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, keep
+from tessera.llm import common
+from tessera.llm.common import WORD, keep, settle, unused, written
 
 #: Units that fly together.
 BLOCK = 2048
-#: Sources up to this many (some 100 bytes each) are broadcast; more are joined by shuffle.
-MOST_BROADCAST = 100_000
+#: Units that stay behind for the landing: the longest, and others spread over all sizes.
+LONGEST, SPREAD = 6, 18
 _UNIT = "s long, doc_id long, source string, size long, m long, pi double, base long"
 
 
@@ -51,52 +55,78 @@ def _draw(seed: int, row: tuple) -> float:
     return int.from_bytes(hashlib.blake2b(repr((seed, *row)).encode(), digest_size=7).digest(), "big") / 2**56
 
 
+def staying(n: int) -> set[int]:
+    """Places of the units, in order of size, that stay behind for the landing: more of them among the small ones."""
+    if n <= LONGEST + SPREAD + 2:
+        return set(range(n))
+    return {*range(LONGEST), *(n - 1 - int((n - 1) * (j / SPREAD) ** 2) for j in range(SPREAD))}
+
+
+def landed(pi: list[float], sizes: list[float]) -> list[float]:
+    """The rounding of a few probabilities whose totals of tokens and of documents are nearest to theirs.
+
+    The errors of both halves' roundings are listed, and each of one half meets those of the other that nearly undo it.
+    """
+    p, z, half = np.array(pi), np.array(sizes), len(pi) // 2
+    one = z.mean() if z.size and z.any() else 1.0
+
+    def roundings(p: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = ((np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1).astype(float)
+        return ends, (ends - p) @ z, (ends - p).sum(axis=1)
+
+    a, tokens_a, docs_a = roundings(p[:half], z[:half])
+    b, tokens_b, docs_b = roundings(p[half:], z[half:])
+    order = np.argsort(tokens_b, kind="stable")
+    near = np.searchsorted(tokens_b[order], -tokens_a)[:, None] + np.arange(-32, 32)
+    met = order[np.clip(near, 0, len(order) - 1)]
+    cost = np.abs(tokens_a[:, None] + tokens_b[met]) / one + 0.02 * np.abs(docs_a[:, None] + docs_b[met])
+    i, j = np.unravel_index(int(np.argmin(np.round(cost, 9))), cost.shape)
+    return [*a[i].tolist(), *b[met[i, j]].tolist()]
+
+
 def fly(pi: list[float], sizes: list[float], draws: list[float], land: bool) -> list[float]:
     """Cube method over units in the given order: the flight phase, and the landing too if ``land``.
 
-    The totals of ``pi * size`` and of ``pi`` stay as they are while three units are neither 0 nor 1; the landing
-    keeps the first of them while two are, and then draws.
+    The totals of ``pi * size`` and of ``pi`` stay as they are while three units are neither 0 nor 1.
     """
     p, open_, at, n = list(pi), [], 0, len(pi)
     eps = 1e-12
+    behind = staying(n) if land else set()
 
-    def settle(i: int) -> bool:
+    def settled(i: int) -> bool:
         if p[i] < eps:
             p[i] = 0.0
         elif p[i] > 1 - eps:
             p[i] = 1.0
-        return 0.0 < p[i] < 1.0
+        return not 0.0 < p[i] < 1.0
 
     while True:
         while len(open_) < 3 and at < n:
-            if settle(at):
+            if at not in behind and not settled(at):
                 open_.append(at)
             at += 1
-        if len(open_) < (2 if land else 3):
+        if len(open_) < 3:
             break
-        a, b = open_[0], open_[1]
-        if len(open_) == 3:
-            c = open_[2]
-            v = {a: sizes[b] - sizes[c], b: sizes[c] - sizes[a], c: sizes[a] - sizes[b]}
-            if not any(v.values()):  # all of one size
-                v = {a: 1.0, b: -1.0, c: 0.0}
-        else:
-            v = {a: sizes[b], b: -sizes[a]} if sizes[a] or sizes[b] else {a: 1.0, b: -1.0}
+        a, b, c = open_
+        v = {a: sizes[b] - sizes[c], b: sizes[c] - sizes[a], c: sizes[a] - sizes[b]}
+        if not any(v.values()):  # all of one size
+            v = {a: 1.0, b: -1.0, c: 0.0}
         up = min((1 - p[i]) / x if x > 0 else -p[i] / x for i, x in v.items() if x)
         down = min(p[i] / x if x > 0 else (p[i] - 1) / x for i, x in v.items() if x)
-        step = up if draws[open_[0]] * (up + down) < down else -down
-        draws[open_[0]] = (draws[open_[0]] * 7919.123456789 + 0.618033988749895) % 1.0  # the next draw of this unit
+        step = up if draws[a] * (up + down) < down else -down
+        draws[a] = (draws[a] * 7919.123456789 + 0.618033988749895) % 1.0  # the next draw of this unit
         for i, x in v.items():
             p[i] += step * x
         was = open_
-        open_ = [i for i in was if settle(i)]
+        open_ = [i for i in was if not settled(i)]
         if len(open_) == len(was):  # rounding left all inside: the nearest to an end is put there
             i = min(was, key=lambda i: min(p[i], 1 - p[i]))
             p[i] = float(round(p[i]))
             open_.remove(i)
     if land:
-        for i in open_:
-            p[i] = 1.0 if draws[i] < p[i] else 0.0
+        left = sorted([*open_, *(i for i in behind if not settled(i))])
+        for i, x in zip(left, landed([p[i] for i in left], [sizes[i] for i in left]), strict=True):
+            p[i] = x
     return p
 
 
@@ -108,6 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     collection, not of its documents.
     """
     spark = docs.sparkSession
+    since = written(spark)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = keep(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
     found = sorted(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
@@ -116,8 +147,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     plan = [(i, r.source, r["size"], t, t / r["size"] if r["size"] else 0.0, r.n) for i, (r, t) in enumerate(zip(found, targets, strict=True))]
     sources = spark.createDataFrame(plan, "s long, source string, source_size long, target double, rate double, units long")
 
+    bytes_of_plan = sum(100 + 4 * len(r[1] or "") for r in plan)
+
     def small(of_sources: DataFrame) -> DataFrame:
-        return F.broadcast(of_sources) if len(plan) <= MOST_BROADCAST else of_sources
+        return F.broadcast(of_sources) if bytes_of_plan <= common.BROADCAST_BYTES else of_sources
 
     def level(land_below: int, depth: int):
         def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,6 +180,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
     if done is None:
         done = state.limit(0)
     taken = done.select("s", "doc_id", "source", "size", "m", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
+    taken = settle(taken, "mix", since)
     return taken.join(small(sources.select("s", "source_size", "target")), "s").withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -154,7 +188,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed table: each row of ``docs``, with all its columns, as often as the mix takes it."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     decided = mix(docs, **how).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies"))
-    decided = decided.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & size.eqNullSafe(F.col("_z"))
-    out = docs.join(decided, same).withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return out.select(*(F.col(c) for c in docs.columns))
+    d, of, z, copies = unused(docs, "of", "from", "words", "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(of)) & size.eqNullSafe(F.col(z))
+    out = docs.join(decided.toDF(d, of, z, copies), same).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
