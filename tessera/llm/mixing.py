@@ -4,9 +4,9 @@ A source's target over its size says how often each of its documents is taken on
 fraction as an inclusion probability. The flight phase of the cube method moves these probabilities within blocks of
 one source through the null space of two constraints (the tokens taken and the documents taken), until at most two
 or so per block are neither 0 nor 1; these are gathered in new blocks, level by level, until one block a source is
-left. There two dozen units, the longest and others of all sizes, stay behind while the rest fly; the landing then
-gives them and what is left of the flight, of all their roundings, the one nearest to the totals: of tokens first, of
-documents where it costs few tokens. Every draw is a hash of the row and the seed: reruns agree.
+left. Two dozen units of a source's first block, a ladder of sizes from the longest down, never fly; the landing
+gives them and what is left of the flight, of all their roundings, the one nearest to the totals: of tokens first,
+of documents where it costs few tokens. Every draw is a hash of the row and the seed: reruns agree.
 
 Cases: a null text has no words; a null source is a source of its own, ordered last; sources without words get the
 target 0 and their documents are not taken; rows equal in id, source and size are decided together, as one unit of
@@ -16,6 +16,7 @@ read; texts of any length are counted whole; roundings that are equally near: th
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Sequence
 from typing import Any
@@ -30,8 +31,8 @@ from tessera.llm.common import WORD, keep, settle, unused, written
 
 #: Units that fly together.
 BLOCK = 2048
-#: Units that stay behind for the landing: the longest, and others spread over all sizes.
-LONGEST, SPREAD = 6, 18
+#: Units that stay behind for the landing, and how many times smaller than the one before each is to be.
+LANDING, STEP = 24, 1.4
 _UNIT = "s long, doc_id long, source string, size long, m long, pi double, base long"
 
 
@@ -55,11 +56,19 @@ def _draw(seed: int, row: tuple) -> float:
     return int.from_bytes(hashlib.blake2b(repr((seed, *row)).encode(), digest_size=7).digest(), "big") / 2**56
 
 
-def staying(n: int) -> set[int]:
-    """Places of the units, in order of size, that stay behind for the landing: more of them among the small ones."""
-    if n <= LONGEST + SPREAD + 2:
-        return set(range(n))
-    return {*range(LONGEST), *(n - 1 - int((n - 1) * (j / SPREAD) ** 2) for j in range(SPREAD))}
+def staying(sizes: list[float]) -> set[int]:
+    """Places of the units (the longest first) that stay behind for the landing: a ladder of sizes, so that their
+    roundings make up for any error."""
+    left, out = list(range(len(sizes))), set()
+    if len(sizes) <= LANDING + 2:
+        return set(left)
+    for j in range(LANDING):
+        wanted = sizes[0] / STEP**j
+        k = bisect.bisect_left(left, -wanted, key=lambda i: -sizes[i])
+        if k == len(left) or k and abs(sizes[left[k - 1]] - wanted) <= abs(sizes[left[k]] - wanted):
+            k -= 1
+        out.add(left.pop(k))
+    return out
 
 
 def landed(pi: list[float], sizes: list[float]) -> list[float]:
@@ -84,14 +93,15 @@ def landed(pi: list[float], sizes: list[float]) -> list[float]:
     return [*a[i].tolist(), *b[met[i, j]].tolist()]
 
 
-def fly(pi: list[float], sizes: list[float], draws: list[float], land: bool) -> list[float]:
-    """Cube method over units in the given order: the flight phase, and the landing too if ``land``.
+def fly(pi: list[float], sizes: list[float], draws: list[float], land: bool, hold: bool = False) -> list[float]:
+    """Cube method over units in the given order: the flight phase, and the landing too if ``land``. With ``hold`` the
+    units for a later landing stay behind.
 
     The totals of ``pi * size`` and of ``pi`` stay as they are while three units are neither 0 nor 1.
     """
     p, open_, at, n = list(pi), [], 0, len(pi)
     eps = 1e-12
-    behind = staying(n) if land else set()
+    behind = staying(sizes) if land or hold else set()
 
     def settled(i: int) -> bool:
         if p[i] < eps:
@@ -157,7 +167,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
             pdf = pdf.assign(draw=[_draw(seed + 1000 * depth, (int(m), str(d), str(s), int(z))) for d, s, z, m in zip(pdf.doc_id, pdf.source, pdf["size"], pdf.m, strict=True)])
             pdf = pdf.assign(all=pdf["size"] * pdf.m).sort_values(["all", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
             land = key[2] <= land_below
-            pi = fly(pdf.pi.tolist(), [float(x) for x in pdf["all"]], pdf.draw.tolist(), bool(land))
+            pi = fly(pdf.pi.tolist(), [float(x) for x in pdf["all"]], pdf.draw.tolist(), bool(land), hold=key[1] == 0)
             return pdf.assign(pi=pi)[["s", "doc_id", "source", "size", "m", "pi", "base"]]
 
         return run
