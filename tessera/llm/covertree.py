@@ -1,16 +1,19 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
 Cosine at or above a threshold is a bounded distance between unit vectors, so a metric tree finds all such pairs.
-Equal vectors of a label are one class first. A label with many classes is dealt to cells of its nearest pivot (an
-evenly hashed choice of classes); a class also visits, as a guest, every cell that may hold a partner: those whose
-border with its own cell is no further away than the threshold's distance. In a cell, cover trees (nested levels with
+Equal vectors of a label are one class first. A label with many classes is dealt to cells, level by level: the classes
+of a cell go to the nearest of its pivots (an evenly hashed choice of some ``FAN`` of them), until a cell has at most
+``CELL``. A class also visits, as a guest, every cell that may hold a partner: those whose border with its nearest
+pivot's cell is no further away than the threshold's distance. A cell that pivots do not take apart (its children are
+nearly as large as itself, or guests multiply) is dealt in blocks, each of which meets each other, so that no task
+holds more than two blocks, however dense the vectors lie. In a cell, cover trees (nested levels with
 halving radii) of the cell's classes and of its guests are traversed together: a pair of nodes is dropped when their
 covering radii cannot bring them within the distance, counted whole when these cannot take them out of it, and
 compared in double precision at the leaves. A cell returns a count for each class and links that join its components,
 never pairs.
 
 Cases: vectors that are null or empty, have a null or non-finite component or only zeros, or a null label link with
-nothing; vectors of unlike length do not link; repeated rows are other vectors at the same place; rows with a null id
+nothing; vectors of unlike length do not link; ties between pivots go to the first by id; repeated rows are other vectors at the same place; rows with a null id
 link with nothing, have no component and are kept; the table may be empty; further columns are not read.
 """
 
@@ -18,18 +21,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, shuffle_width
+from tessera.llm.common import keep, settle, shuffle_width, small, written
 from tessera.llm.components import components
 
 LEAF, SLACK = 32, 1e-6
-#: Classes that a cell is to hold, and the size bound of all pivots, which are broadcast; with more, cells grow.
-CELL, PIVOT_BYTES = 8192, 64 << 20
+#: Classes that a cell is to hold, pivots of a larger one, and bytes of the pivots that are broadcast at a time.
+CELL, FAN, PIVOT_BYTES = 2048, 48, 32 << 20
+#: A cell is not taken apart if a child keeps this part of it, or its rows become so many times more.
+STUCK, CROWDED = 0.9, 4
 #: Distances computed at a time.
 BLOCK = 1 << 21
 
@@ -58,9 +64,9 @@ class Node:
 
 
 class Cell:
-    """Counts and joining links of classes (the first ``own`` rows) among all rows."""
+    """Counts and joining links of classes (the first ``own`` rows) among all rows, or only among the others."""
 
-    def __init__(self, raw: np.ndarray, sizes: np.ndarray, own: int, cosine: float) -> None:
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray, own: int, cosine: float, within: bool = True) -> None:
         self.raw, self.norm, self.sizes, self.cosine = raw, np.sqrt((raw * raw).sum(axis=1)), sizes, cosine
         self.x = raw / self.norm[:, None]
         self.far = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
@@ -70,7 +76,8 @@ class Cell:
         if not own:
             return
         tree = Node(self.x, np.arange(own), 0)
-        self._traverse([(tree, None)])
+        if within:
+            self._traverse([(tree, None)])
         if own < len(raw):
             self._traverse([(tree, Node(self.x, np.arange(own, len(raw)), own))])
 
@@ -155,46 +162,108 @@ def _usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, number) & F.exists(v, lambda y: y != 0), F.lit(False))
 
 
-def link_vectors(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes (``label, v, rep, m``), counts (``rep, n``: vectors of other classes linked) and links (``u, v``)."""
-    spark, far = vectors.sparkSession, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v")))
-    classes = keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes").withColumn("dim", F.size("v"))
-    sizes = classes.groupBy("label", "dim").count().where(F.col("count") > CELL)
-    total = sizes.agg(F.sum(F.col("count") * F.col("dim") * 8).alias("b")).first().b or 0
-    each = max(CELL, -(-total // PIVOT_BYTES))  # classes to a pivot: all pivots together stay within PIVOT_BYTES
-    chosen = classes.join(sizes.select("label", "dim"), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(each)) == 0).select("label", "dim", "v", "rep").orderBy("rep").collect()
+#: What a row is to its cell: a guest, one whose pairs within the cell are met elsewhere, one whose pairs are all met.
+GUEST, APART, OWN = 0, 1, 2
+_CELL = ["label", "dim", "cell"]
+
+
+def _dealt(rows: DataFrame, level: int, far: float) -> DataFrame:
+    """Rows of a chunk of cells to the cells of their pivots, with ``parent``."""
+    chosen = rows.where(F.col("role") == OWN).where(F.pmod(F.xxhash64("rep", F.lit(level)), F.greatest(F.ceil(F.col("size") / FAN), F.lit(1))) == 0)
     pivots: dict[tuple, np.ndarray] = {}
-    for key in {(r.label, r.dim) for r in chosen}:
-        x = np.array([r.v for r in chosen if (r.label, r.dim) == key], float)
-        pivots[key] = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    shared = spark.sparkContext.broadcast({k: (p, np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))) for k, p in pivots.items() if len(p) > 1})
+    for r in chosen.groupBy(*_CELL).agg(F.array_sort(F.collect_list(F.struct("rep", "v"))).alias("p")).collect():  # PIVOT_BYTES or so: some FAN a cell
+        x = np.array([p.v for p in r.p], float)
+        pivots[r.label, r.dim, r.cell] = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between: dict[tuple, np.ndarray] = {}
         for b in batches:
-            labels, dims, vs = (b.column(k).to_pylist() for k in ("label", "dim", "v"))
-            row, cell, own = [], [], []
-            for k, key in enumerate(zip(labels, dims, strict=True)):
+            at, cells, roles = [], [], []
+            names = zip(*(b.column(k).to_pylist() for k in (*_CELL, "role")), strict=True)
+            for k, ((label, dim, cell, role), v) in enumerate(zip(names, b.column("v"), strict=True)):
+                p = shared.value.get((label, dim, cell))
                 places, home = [0], 0
-                if key in shared.value:
-                    p, between = shared.value[key]
-                    x = np.array(vs[k], float)
+                if p is not None:
+                    x = np.array(v.as_py(), float)
                     d2 = 2 - 2 * (p @ (x / math.sqrt(x @ x)))
                     home = int(d2.argmin())
-                    places = np.flatnonzero(d2 - d2[home] <= 2 * between[home] * (far + SLACK) + SLACK).tolist()
-                row += [k] * len(places)
-                cell += places
-                own += [c == home for c in places]
-            out = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(own, pa.bool_())], names=[*out.schema.names, "cell", "own"])
+                    key = (label, dim, cell, home)
+                    if key not in between:
+                        if len(between) > 4096:
+                            between.clear()
+                        between[key] = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p[home])))
+                    places = np.flatnonzero(d2 - d2[home] <= 2 * between[key] * (far + SLACK) + SLACK).tolist()
+                at += [k] * len(places)
+                cells += [f"{cell}/{place}" for place in places]
+                roles += [OWN if role == OWN and place == home else GUEST for place in places]
+            out = b.take(pa.array(at, pa.int64()))
+            kept = [out.column(k) for k in ("label", "dim", "v", "rep", "m")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.string()), pa.array(roles, pa.int32()), out.column("cell"), out.column("size")], names=["label", "dim", "v", "rep", "m", "cell", "role", "parent", "size"])
+
+    kind = rows.schema["label"].dataType.simpleString()
+    return rows.select(*_CELL, "v", "rep", "m", "role", "size").mapInArrow(run, f"label {kind}, dim int, v array<double>, rep long, m long, cell string, role int, parent string, size long")
+
 
-    dealt = classes.select("label", "dim", "v", "rep", "m")
-    dealt = dealt.mapInArrow(deal, f"label {classes.schema['label'].dataType.simpleString()}, dim int, v array<double>, rep long, m long, cell int, own boolean")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of cells that stay large, each cell's classes in blocks: one that a block meets itself in, and one for each
+    other block, whose guests it also meets."""
+    parts = F.ceil(F.col("size") / CELL).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(-1)), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    spot = lambda i, j, role: F.struct(F.concat_ws("#", F.col("cell"), i, j).alias("cell"), role.cast("int").alias("role"))
+    own, part = F.col("role") == OWN, F.col("part")
+    as_own = F.transform(F.filter(every, lambda j: own), lambda j: spot(part, j, F.when(j == part, OWN).otherwise(APART)))
+    as_guest = F.transform(F.filter(every, lambda i: ~own | (i != part)), lambda i: spot(i, part, F.lit(GUEST)))
+    out = dealt.withColumn("at", F.explode(F.concat(as_own, as_guest)))
+    return out.select("label", "dim", "v", "rep", "m", "at.cell", "at.role")
+
+
+def cells(classes: DataFrame, far: float) -> DataFrame:
+    """``label, dim, v, rep, m, cell, role`` of all classes in cells of at most ``CELL`` (and guests)."""
+    columns, key = ["label", "dim", "v", "rep", "m", "cell", "role"], F.col("role") == OWN
+    rows, ready, level = classes.select("label", "dim", "v", "rep", "m", F.lit("").alias("cell"), F.lit(OWN).alias("role")), [], 0
+    limits = None
+    while True:
+        sizes = rows.where(key).groupBy(*_CELL).agg(F.count("*").alias("size"))
+        if limits is not None:  # of the parents: their sizes, and whether their guests were too many
+            was = rows.groupBy(*_CELL).agg(F.first("size").alias("was"))
+            sizes = sizes.join(was, _CELL)
+        sizes = keep(sizes.where(F.col("size") > CELL), "sizes")
+        marked = rows.drop("size").join(small(sizes, 200), _CELL, "left")
+        ready.append(marked.where("size is null").select(*columns))
+        if limits is not None:
+            ready.append(_blocks(marked.where(F.col("size") >= STUCK * F.col("was"))))
+            marked = marked.where(F.col("size") < STUCK * F.col("was"))
+            sizes = sizes.where(F.col("size") < STUCK * F.col("was"))
+        total = sizes.agg(F.sum(F.lit(FAN * 8) * F.col("dim")).alias("b")).first().b
+        if not total:
+            return reduce(DataFrame.unionByName, ready)
+        chunks = -(-total // PIVOT_BYTES)
+        open_ = keep(marked.where("size is not null").select(*columns, "size").withColumn("chunk", F.pmod(F.xxhash64(*_CELL), F.lit(chunks))), "open")
+        found = None
+        for chunk in range(chunks):
+            dealt = _dealt(open_.where(F.col("chunk") == chunk), level, far)
+            found = dealt if found is None else found.unionByName(dealt)
+        found = keep(found, "dealt")
+        grown = found.groupBy("label", "dim", F.col("parent").alias("cell")).agg(F.count("*").alias("out"))
+        before = open_.groupBy(*_CELL).agg(F.count("*").alias("in"))
+        crowded = keep(grown.join(before, _CELL).where(F.col("out") > CROWDED * F.col("in")).select(*_CELL), "crowded")
+        ready.append(_blocks(open_.join(small(crowded, 200), _CELL, "left_semi")))
+        parent = crowded.withColumnRenamed("cell", "parent")
+        rows, limits, level = found.join(small(parent, 200), ["label", "dim", "parent"], "left_anti").select(*columns, "size"), True, level + 1
+
+
+def link_vectors(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (``label, v, rep, m``), counts (``rep, n``: vectors of other classes linked) and links (``u, v``)."""
+    spark, far = vectors.sparkSession, math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
+    good = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("v")))
+    classes = keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes").withColumn("dim", F.size("v"))
 
     def close(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: not r[3])
-        own = sum(r[3] for r in rows)
-        c = Cell(np.array([r[0] for r in rows], float), np.array([r[2] for r in rows], np.int64), own, cosine)
+        rows.sort(key=lambda r: r[3] == GUEST)
+        own = sum(r[3] != GUEST for r in rows)
+        c = Cell(np.array([r[0] for r in rows], float), np.array([r[2] for r in rows], np.int64), own, cosine, any(r[3] == OWN for r in rows))
         u = [r[1] for r in rows[:own]] + [rows[i][1] for i, _ in c.links]
         v = [None] * own + [rows[j][1] for _, j in c.links]
         n = c.counts[:own].tolist() + [None] * len(c.links)
@@ -203,7 +272,7 @@ def link_vectors(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for b in batches:
-            for label, dim, cell, *r in zip(*(b.column(k).to_pylist() for k in ("label", "dim", "cell", "v", "rep", "m", "own")), strict=True):
+            for label, dim, cell, *r in zip(*(b.column(k).to_pylist() for k in (*_CELL, "v", "rep", "m", "role")), strict=True):
                 if (label, dim, cell) != at:
                     if rows:
                         yield close(rows)
@@ -212,18 +281,20 @@ def link_vectors(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFram
         if rows:
             yield close(rows)
 
-    key = ["label", "dim", "cell"]
-    met = keep(dealt.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "rep").mapInArrow(run, "u long, v long, n long"), "met")
-    return classes.drop("dim"), met.where("v is null").select(F.col("u").alias("rep"), "n"), met.where("v is not null").select("u", "v")
+    placed = cells(classes, far).repartition(shuffle_width(spark), *_CELL).sortWithinPartitions(*_CELL, "rep")
+    met = keep(placed.mapInArrow(run, "u long, v long, n long"), "met")
+    return classes.drop("dim"), met.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n")), met.where("v is not null").select("u", "v")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector; only vectors of one label link."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    since = written(embeddings.sparkSession)
     classes, counts, links = link_vectors(rows, cosine)
     of = components(links)
     known = classes.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = settle(known, "linked-vectors", since)
     out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")) & F.col("vec_id").isNotNull(), "left")
     alone = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), alone.alias("component_id"), F.coalesce(F.col("vec_id") == alone, F.lit(True)).alias("kept"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import covertree
+from tessera.llm import common, covertree
 
 
 def brute(rows, cosine):
@@ -41,9 +41,14 @@ def vectors(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "cell"), [(1, 8192), (2, 40)])
-def test_links_and_components_equal_brute_force(spark, monkeypatch, seed, cell):
-    monkeypatch.setattr(covertree, "CELL", cell)
+#: One cell; levels of few pivots; small cells and broadcasts, with joins by shuffle; all cells in blocks.
+LIMITS = [{}, {"CELL": 40, "FAN": 4}, {"CELL": 20, "FAN": 3, "PIVOT_BYTES": 400, "BROADCAST_BYTES": -1}, {"CELL": 30, "CROWDED": 0}]
+
+
+@pytest.mark.parametrize(("seed", "limits"), enumerate(LIMITS))
+def test_links_and_components_equal_brute_force(spark, monkeypatch, seed, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(common if name == "BROADCAST_BYTES" else covertree, name, value)
     rows = vectors(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n long")
     got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df, 0.98).collect()}
