@@ -11,9 +11,6 @@ import numpy as np
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_rng = np.random.default_rng(77)
-_PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDER = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at a time; bounds the memory that a text of any length takes.
 CHUNK = 1 << 19
 
@@ -24,6 +21,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def series(seed: int, n: int) -> np.ndarray:
+    """``n`` mixed 64-bit numbers, the same under every version of the libraries: those of the steps of a counter."""
+    return _mix(np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_PLACE, _ORDER = series(77, 4096) | np.uint64(1), series(78, 16) | np.uint64(1)
+
+
 def _hash_words(data: bytes) -> np.ndarray:
     a = np.frombuffer(data, np.uint8)
     word = ~_SPACE[a]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, shuffle_width
+from tessera.llm.common import keep, settle, shuffle_width, small, unused, written
 from tessera.llm.components import components
 from tessera.llm.shingles import _mix, shingles
 
@@ -36,8 +36,6 @@ K, RUN = 64, 3
 MARGIN = 6 * (0.25 / K) ** 0.5
 #: Shingles that a task takes at a time from one group; larger groups are dealt to several tasks.
 GROUP_SHINGLES = 4_000_000
-#: Ids of dropped rows up to this many (8 bytes each) are broadcast; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def run_keys(sketch: np.ndarray) -> np.ndarray:
@@ -185,6 +183,8 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def link_texts(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Sketched rows (``doc_id, n, set_id``) and the links (``u, v``: smallest ids of classes) that join components."""
+    if 100 * num < 80 * den:
+        raise ValueError("runs of retained values find pairs of a similarity of 0.8 or more only")
     sketched = keep(sketch(docs), "sketches")
     width = shuffle_width(docs.sparkSession)
     classes = sketched.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
@@ -194,7 +194,7 @@ def link_texts(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFram
     listed = postings.withColumn("anchor", F.min("doc").over(by_key)).withColumn("listed", F.count("*").over(by_key)).where("listed > 1")
     groups = keep(listed.select("anchor", "doc", "n").distinct(), "groups")
     parts = groups.groupBy("anchor").agg(F.sum("n").alias("all")).select("anchor", F.ceil(F.col("all") / GROUP_SHINGLES).cast("int").alias("parts"))
-    dealt = groups.join(parts, "anchor")
+    dealt = groups.join(small(keep(parts, "parts"), 12), "anchor")
     whole = F.when(F.col("doc") == F.col("anchor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.hash("doc"), F.col("parts"))))
     placed = dealt.withColumn("part", F.explode(whole))
     columns = ["anchor", "part", "pivot", "joined"]
@@ -209,8 +209,8 @@ def link_texts(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFram
         # of a group in several parts, what is outside its first class's component meets every part
         of = components(links).withColumnRenamed("node", "doc")
         large = placed.where("parts > 1").join(of, "doc", "left").withColumn("joined", F.coalesce("component", "doc")).drop("component")
-        main = large.where("doc = anchor").select("anchor", F.col("joined").alias("main")).distinct()
-        large = large.join(main, "anchor").withColumn("pivot", F.col("joined") != F.col("main"))
+        main = keep(large.where("doc = anchor").select("anchor", F.col("joined").alias("main")).distinct(), "main")
+        large = large.join(small(main, 16), "anchor").withColumn("pivot", F.col("joined") != F.col("main"))
         every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
         rows = large.withColumn("part", F.explode(every)).select("doc", F.struct(*columns).alias("at")).distinct().groupBy("doc").agg(F.collect_list("at").alias("at"))
         links = links.unionByName(met(rows))
@@ -227,19 +227,22 @@ def _decide(sketched: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    return _decide(*link_texts(docs, num, den))
+    """``doc_id, n_shingles, component_id, kept`` of every row. ``num / den`` is 0.8 at least."""
+    since = written(docs.sparkSession)
+    return settle(_decide(*link_texts(docs, num, den)), "near-duplicates", since)
 
 
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` of which each group of near duplicates keeps one: that of its smallest id. Rows that
     repeat an id and its text are copies too."""
+    since = written(docs.sparkSession)
     sketched, links = link_texts(docs, num, den)
-    gone = keep(_decide(sketched, links).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = keep(sketched.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    name, copies = unused(docs, "gone", "copies")
+    decided = _decide(sketched, links).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(copies), F.bool_and("kept").alias("kept"))
+    noted = settle(decided.where(~F.col("kept") | (F.col(copies) > 1)).select(F.col("doc_id").alias(name), "kept", copies), "gone", since)
+    same = F.col("doc_id").cast("long") == F.col(name)
+    left = docs.join(small(noted.where("not kept").select(name), 8), same, "left_anti")
+    again = noted.where("kept").select(name)
     if not again.limit(1).count():
         return left
-    same = F.col("doc_id").cast("long") == F.col("_again")
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
