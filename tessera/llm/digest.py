@@ -1,17 +1,22 @@
 """Document fingerprints: a quartile bucket digest.
 
-Byte triplets of the UTF-8 text are hashed to 256 buckets and counted; each bucket is coded by the quartile its
-count falls in (two bits), after a code of the length and of the quartiles' ratios. Two digests differ by a bounded
-score, which ``likeness`` maps to 0..1.
+Byte triplets of the UTF-8 text, taken from windows of five bytes, are hashed to 512 buckets and counted; each bucket is
+coded by the quartile its count falls in (two bits), after a code of the length and of the quartiles' ratios. Two digests
+differ by a bounded score, which ``likeness`` maps to 0..1.
+
+Buckets, shapes and weights are chosen by a task on 500 documents of sf0.01: of all pairs of a document half of which is
+replaced and two documents that follow each other, in how many is the first the more alike? 0.92 at these values, 0.89
+with 256 buckets, triplets of four bytes and a weight of 6 for opposite quartiles.
 
 Cases: a null text counts as empty; empty and very short texts (no triplet) have all buckets in the lowest quartile
-and differ by length alone; texts of any length are counted in chunks; equal texts have equal digests; the table may
+and differ by length alone; very long texts are counted whole, in chunks; equal texts have equal digests; the table may
 be empty; further columns of the input, whatever their names, are not read. A row with a null id comes after all
 others; rows with equal ids are ordered by their text.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from collections.abc import Iterator
@@ -25,25 +30,24 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep, shuffle_width
 from tessera.llm.shingles import series
 
-BUCKETS = 256
+BUCKETS = 512
 #: Bytes counted at a time; bounds the memory that a text of any length takes.
 CHUNK = 1 << 20
 #: The score at which two digests count as unrelated: what two independent bodies differ by on average.
-UNRELATED = 416
+UNRELATED = BUCKETS * 5 // 4
 #: Length codes further apart than this add nothing more.
 FARTHEST = 24
 
-#: Permutations of the bytes, one for each place of each shape.
-_TABLES = [[np.argsort(series(100 + 10 * i + j, 256), kind="stable").astype(np.uint8) for j in range(3)] for i in range(3)]
-_SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
-_APART = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], np.int64)
+#: What each byte adds to the bucket's number, for each place of each shape.
+_TABLES = [[(series(100 + 10 * i + j, 256) % np.uint64(BUCKETS)).astype(np.uint16) for j in range(3)] for i in range(3)]
+_SHAPES = ((0, 1, 4), (0, 2, 4), (0, 3, 4))
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
-    """How many triplets (three shapes within four bytes) hash to each bucket."""
+    """How many triplets (three shapes within five bytes) hash to each bucket."""
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, max(1, len(data)), CHUNK):
-        a = np.frombuffer(data, np.uint8, count=min(CHUNK + 3, len(data) - at), offset=at) if data else np.empty(0, np.uint8)
+        a = np.frombuffer(data, np.uint8, count=min(CHUNK + 4, len(data) - at), offset=at) if data else np.empty(0, np.uint8)
         last = at + CHUNK >= len(data)
         for (p, q, r), (x, y, z) in zip(_SHAPES, _TABLES, strict=True):
             n = a.size - r if last else min(a.size - r, CHUNK)
@@ -53,7 +57,7 @@ def bucket_counts(data: bytes) -> np.ndarray:
 
 
 def fingerprint(data: bytes) -> str:
-    """132 hex digits: length code, quartile ratios, then the buckets' quartiles, four to a byte."""
+    """Length code and quartile ratios in two hex digits each, then the buckets' quartiles, four to a byte, in base 64."""
     counts = bucket_counts(data)
     q1, q2, q3 = (int(x) for x in np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]])
     length = min(255, round(math.log1p(len(data)) / math.log(1.12)))
@@ -61,17 +65,15 @@ def fingerprint(data: bytes) -> str:
     code = (counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)
     code = code.reshape(-1, 4).astype(np.uint8)
     body = (code[:, 0] << 6 | code[:, 1] << 4 | code[:, 2] << 2 | code[:, 3]).astype(np.uint8)
-    return f"{length:02x}{ratios:02x}{body.tobytes().hex()}"
+    return f"{length:02x}{ratios:02x}{base64.b64encode(body.tobytes()).decode()}"
 
 
 def difference(a: str, b: str) -> int:
-    """From 0 (equal digests) to 256 * 6 + 2 * 15 + FARTHEST."""
-    x, y = (np.frombuffer(bytes.fromhex(s), np.uint8) for s in (a, b))
-    out = min(FARTHEST, abs(int(x[0]) - int(y[0])))
-    out += abs(int(x[1] >> 4) - int(y[1] >> 4)) + abs(int(x[1] & 15) - int(y[1] & 15))
-    for shift in (0, 2, 4, 6):
-        out += int(_APART[x[2:] >> shift & 3, y[2:] >> shift & 3].sum())
-    return out
+    """From 0 (equal digests) to 3 * BUCKETS + 2 * 15 + FARTHEST: quartiles, ratios and the length by how far apart
+    they are."""
+    out = min(FARTHEST, abs(int(a[:2], 16) - int(b[:2], 16))) + abs(int(a[2], 16) - int(b[2], 16)) + abs(int(a[3], 16) - int(b[3], 16))
+    x, y = (np.frombuffer(base64.b64decode(s[4:]), np.uint8).astype(np.int64) for s in (a, b))
+    return out + sum(int(np.abs((x >> shift & 3) - (y >> shift & 3)).sum()) for shift in (0, 2, 4, 6))
 
 
 def likeness(a: str, b: str) -> float:
