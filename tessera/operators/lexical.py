@@ -11,7 +11,6 @@ term gives no row; ties are ordered by id; repeated ids are one document of thei
 
 from __future__ import annotations
 
-import math
 from collections.abc import Collection
 from dataclasses import dataclass
 
@@ -23,9 +22,6 @@ from tessera.functions.tokens import terms
 # The parameters of BM25+.
 K1, B, DELTA, MOST_DOCS, MOST_REPEATS, BOOST = 1.5, 0.75, 1.0, 0.8, 3, 1.2
 
-#: Distinct terms of all queries up to this many are looked for while texts are read; more need an index.
-MOST_TERMS = 10_000
-
 
 @dataclass(frozen=True)
 class Index:
@@ -38,7 +34,8 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", term_column: Column | None = None, **how) -> Index:
-        found = docs.select(F.col(doc_id).alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
+        # dealt by id first: postings and lengths then need no shuffle of their own, and postings are larger than texts
+        found = docs.withColumn("_id", F.col(doc_id)).repartition("_id").select(F.col("_id").alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
         # outer: else a filter on the array is put below, and all terms are made twice
         postings = found.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"))
         lengths = found.groupBy("id").agg(F.sum(F.coalesce(F.size("terms"), F.lit(0)).cast("long")).alias("dl"))
@@ -93,28 +90,26 @@ def search(index: Index, queries: DataFrame, k: int = 20, allowed: DataFrame | N
 
 
 def search_texts(docs: DataFrame, queries: DataFrame, k: int = 20, allowed: Column | None = None, doc_id: str = "doc_id", text: str = "text", protected: Collection[str] = (), **how) -> DataFrame:
-    """``search`` without an index, in two passes over the texts and without a shuffle of postings.
+    """``search`` without an index: texts are read once, and only what they have of the queries' terms is shuffled.
 
-    The first counts documents, terms and the queries' terms (a row a term); the second scores in place what a text
-    has of the queries' terms, and only such rows are shuffled. Ids have to be distinct. ``allowed`` filters what is
-    returned and leaves the statistics as they are.
+    A row with its length and those terms goes to its id, where rows of one id are one document, as in an index. The
+    statistics and the scores are made of the same exchange. ``allowed`` filters what is returned (an id if one of its
+    rows is allowed) and leaves the statistics as they are.
     """
-    asked = query_terms(queries, protected=protected, **how).collect()  # the stated queries' terms
-    wanted = sorted({r.term for r in asked})
-    if len(wanted) > MOST_TERMS:
-        ok = docs.where(allowed).select(F.col(doc_id).alias("id")) if allowed is not None else None
-        return search(Index.build(docs, doc_id, text, protected=protected, **how), queries, k, ok, protected=protected, **how)
-    spark, has = docs.sparkSession, F.lit(True) if allowed is None else allowed
-    found = docs.select(F.col(doc_id).alias("id"), has.alias("ok"), terms(F.col(text), protected=protected, **how).alias("t"))
-    rows = found.select("id", "ok", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("dl"), F.coalesce(F.filter("t", lambda x: x.isin(*wanted)) if wanted else F.lit(None), F.array().cast("array<string>")).alias("hits"))
-    counts = rows.select("dl", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("hits"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
-    seen = {r.term: (r.n, r.dl) for r in counts.collect()}  # a row a wanted term, and one for all
-    n, total = seen.pop("", (0, 0))
-    average = total / n if n and total else 1.0
-    weights = [(r.query_id, r.term, math.log((n + 1.0) / (seen[r.term][0] + 0.5)) * (BOOST if r.term in protected else 1.0) * min(r.qtf, MOST_REPEATS)) for r in asked if r.term in seen and seen[r.term][0] <= MOST_DOCS * n]
-    kind = queries.schema["query_id"].dataType.simpleString()
-    table = F.broadcast(spark.createDataFrame(weights, f"query_id {kind}, term string, w double"))  # a row a query's term
+    asked = query_terms(queries, protected=protected, **how)
+    wanted = sorted(r.term for r in asked.select("term").distinct().collect())  # the stated queries' terms
+    found = docs.select(F.col(doc_id).alias("id"), *([] if allowed is None else [allowed.alias("ok")]), terms(F.col(text), protected=protected, **how).alias("t"))
+    none = F.array().cast("array<string>")
+    rows = found.select("id", *([] if allowed is None else ["ok"]), F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("dl"), F.coalesce(F.filter("t", lambda x: x.isin(*wanted)) if wanted else none, none).alias("hits"))
+    ok = [] if allowed is None else [F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok")]
+    rows = rows.groupBy("id").agg(*ok, F.sum("dl").alias("dl"), F.flatten(F.collect_list("hits")).alias("hits"))  # rows of one id
+    # the filter, of which all is true, keeps the column, so that both uses have one exchange
+    all_rows = rows if allowed is None else rows.where(F.col("ok") | ~F.col("ok"))
+    counts = all_rows.select("dl", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct("hits"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    total = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    known = asked.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(total)).where(F.col("df") <= MOST_DOCS * F.col("n"))  # a row a query's term
     tf = (F.size("hits") - F.size(F.array_remove(F.col("hits"), F.col("term")))).cast("double")
-    met = rows.select("id", "dl", F.when(F.col("ok"), F.col("hits")).alias("hits")).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", tf.alias("tf")).join(table, "term")
-    each = F.col("w") * (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / average)) + DELTA)
+    met = (rows if allowed is None else rows.where("ok")).select("id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("id", "dl", "term", tf.alias("tf")).join(F.broadcast(known), "term")
+    boosted = F.col("term").isin(*protected) if protected else F.lit(False)
+    each = term_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("qtf"), boosted)
     return best(met.groupBy("query_id", "id").agg(F.round(F.sum(each), 9).alias("score")).where("score > 0"), k)
