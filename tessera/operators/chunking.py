@@ -85,15 +85,15 @@ def _cuts(text: str, heads: list[Heading]) -> Iterator[tuple[Heading, str]]:
         yield h, text[h.start : end].strip()
 
 
-def split_paragraphs(text: str, most: int = 2000, least: int = 200) -> list[Chunk]:
-    """Paragraphs packed in order; what stays below ``least`` is dropped."""
+def split_paragraphs(text: str, most: int = 2000, least: int = 200, keep_short: bool = True) -> list[Chunk]:
+    """Paragraphs packed in order; a pack below ``least`` takes in the next, or is dropped without ``keep_short``."""
     packs: list[str] = []
     for p in _paragraphs(text):
         if packs and len(packs[-1]) + len(p) + 2 <= most:
             packs[-1] += "\n\n" + p
         else:
             packs.append(p)
-    return [(p, {}) for p in packs if len(p) >= least]
+    return merge_short([(p, {}) for p in packs], least) if keep_short else [(p, {}) for p in packs if len(p) >= least]
 
 
 def split_long(text: str, section: str, level: int, most: int = 2000, overlap: int = 100) -> list[Chunk]:
@@ -128,13 +128,13 @@ def merge_short(chunks: list[Chunk], least: int) -> list[Chunk]:
     return out
 
 
-def split_structure(text: str, most: int = 2000, least: int = 200, overlap: int = 100, keep_short: bool = False) -> list[Chunk]:
-    """A chunk a section. Sections below ``least`` are dropped, or with ``keep_short`` merged into the next."""
+def split_structure(text: str, most: int = 2000, least: int = 200, overlap: int = 100, keep_short: bool = True) -> list[Chunk]:
+    """A chunk a section. Sections below ``least`` are merged into the next, or dropped without ``keep_short``."""
     if not text.strip():
         return []
     heads = headings(text)
     if not heads:
-        return split_paragraphs(text, most, least)
+        return split_paragraphs(text, most, least, keep_short)
     floor, out = (1 if keep_short else least), []
     intro = text[: heads[0].start].strip()
     if len(intro) >= floor:
@@ -158,8 +158,8 @@ def blocks(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def parents(text: str, most: int = 3000, least: int = 200, least_section: int = 120, keep_short: bool = False) -> list[dict]:
-    """Sections, or packed paragraphs where there is no heading."""
+def parents(text: str, most: int = 3000, least: int = 200, least_section: int = 120, keep_short: bool = True) -> list[dict]:
+    """Sections, or packed paragraphs where there is no heading; without ``keep_short`` short ones are dropped."""
     made: list[dict] = []
     new = lambda t, a, b, kind, title="", level=0: {"text": t, "start": a, "end": b, "type": kind, "title": title, "level": level}
 
@@ -221,7 +221,8 @@ def split_length(text: str, most: int = 800, least: int = 150, overlap: int = 80
 
 @dataclass(frozen=True)
 class Meaning:
-    """Splitting by meaning: where neighbouring units are least alike. ``embed``: texts to an array of vectors."""
+    """Splitting by meaning: where neighbouring units are least alike. ``embed``: texts to an array of vectors. Without
+    ``keep_short`` a rest below ``least`` that does not fit beside its neighbour is dropped."""
 
     embed: Callable[[list[str]], np.ndarray]
     most: int = 1000
@@ -230,6 +231,7 @@ class Meaning:
     percentile: float = 22
     overlap: int = 220
     window: int = 6
+    keep_short: bool = True
 
     def units(self, text: str) -> list[tuple[str, int]]:
         """``unit, start``: paragraphs, short neighbours joined, long ones cut into groups of sentences."""
@@ -277,22 +279,23 @@ class Meaning:
         return (total[b] - total[a]) / (b - a)
 
     def breaks(self, units: list[tuple[str, int]], scores: np.ndarray, starts: set[int]) -> list[int]:
+        """Where a chunk ends, at a unit's start. A chunk that is long enough ends at the start of a part (``starts``);
+        below ``most`` else only at a marked dip, from double the least length on; above it at any dip, where scores
+        vary at all, and at 1.3 times it anywhere."""
         if len(units) < 2:
             return []
         s = self.smooth(scores)
-        limit, calm = min(float(np.percentile(s[1:], self.percentile)), self.threshold), float(np.std(s[1:])) < 0.08
+        low = s < min(float(np.percentile(s[1:], self.percentile)), self.threshold)
+        marked = np.zeros(len(s), bool)
+        marked[1:-1] = low[1:-1] & (s[1:-1] < np.minimum(s[:-2], s[2:]) - 0.15)
+        varied = float(np.std(s[1:])) >= 0.08
         out, length = [], 0
         for i, (unit, start) in enumerate(units):
             length += len(unit)
-            low = s[i] < limit
-            strong = low and 0 < i < len(s) - 1 and s[i] < s[i - 1] - 0.15 and s[i] < s[i + 1] - 0.15
-            if start in starts and length >= self.least * 0.5:
-                cut = True
-            elif length >= self.most:
-                cut = (low and not calm) or strong or length >= self.most * 1.3
-            else:
-                cut = strong and length >= self.least * 2
-            if cut and length >= self.least:
+            part = start in starts and length >= self.least * 0.5
+            dip = marked[i] and (length >= self.most or length >= self.least * 2)
+            full = length >= self.most and ((low[i] and varied) or length >= self.most * 1.3)
+            if length >= self.least and (part or dip or full):
                 out.append(start)
                 length = 0
         return sorted(set(out))
@@ -304,33 +307,32 @@ class Meaning:
                 out[-1] += s
             else:
                 out.append(s)
-        return [x.strip() for x in out if x]
+        return [y for x in out if (y := x.strip())]
 
     def assemble(self, text: str, breaks: list[int]) -> list[Chunk]:
+        """The parts between the breaks, packed in order; parts that are too long by sentence."""
         points = sorted({0, *breaks, len(text)})
-        out: list[Chunk] = []
+        enough = lambda t: self.keep_short or len(t) >= self.least
+        out: list[tuple[str, dict]] = []
         held = ""
-        add = lambda t, **more: out.append((t.strip(), {"split_method": "semantic", "chunk_idx": len(out), **more}))
-        for a, b in zip(points, points[1:], strict=False):
-            part = text[a:b].strip()
-            joined = held + "\n" + part if held else part
-            if not part or len(joined) <= self.most:
-                held = joined if part else held
+        for part in filter(None, (text[a:b].strip() for a, b in zip(points, points[1:], strict=False))):
+            both = f"{held}\n{part}" if held else part
+            if len(both) <= self.most:
+                held = both
                 continue
-            if len(held) >= self.least:
-                add(held)
+            if held and enough(held):
+                out.append((held, {}))
                 held = ""
-            if len(part) > self.most:
-                for x in self.by_sentence(part):
-                    if len(x) >= self.least:
-                        add(x, force_split=True)
-            else:
+            if len(part) <= self.most:
                 held = part
-        if held and (len(held) >= self.least or not out):
-            add(held)
+            else:
+                out += [(t, {"force_split": True}) for t in self.by_sentence(part) if enough(t)]
+        if held and out and len(held) < self.least:
+            out[-1] = (f"{out[-1][0]}\n{held}", out[-1][1])
         elif held:
-            out[-1] = (out[-1][0] + "\n" + held.strip(), out[-1][1])
-        return self.overlapped(self.merged(out))
+            out.append((held, {}))
+        chunks = [(t.strip(), {"split_method": "semantic", "chunk_idx": i, **more}) for i, (t, more) in enumerate(out)]
+        return self.overlapped(self.merged(chunks))
 
     def merged(self, chunks: list[Chunk]) -> list[Chunk]:
         """Small chunks join the next while there is room, else the one before."""
@@ -368,19 +370,20 @@ class Meaning:
         return out
 
     def fallback(self, text: str) -> list[Chunk]:
-        """Without vectors: paragraphs packed, long ones by sentence; small rests are dropped."""
+        """Without vectors: paragraphs packed, long ones by sentence."""
+        enough = lambda t: self.keep_short or len(t) >= self.least
         out: list[str] = []
         held = ""
         for p in _paragraphs(text):
             if len(held) + len(p) <= self.most:
                 held = held + "\n\n" + p if held else p
                 continue
-            out += [held] * (len(held) >= self.least)
+            out += [held] * (bool(held) and enough(held))
             held = p
             if len(p) > self.most:
-                out += [x for x in self.by_sentence(p) if len(x) >= self.least]
+                out += [x for x in self.by_sentence(p) if enough(x)]
                 held = ""
-        out += [held] * (bool(held) and len(held) >= self.least)
+        out += [held] * (bool(held) and enough(held))
         return [(t, {"split_method": "fallback", "chunk_idx": i}) for i, t in enumerate(out)]
 
     def __call__(self, text: str) -> list[Chunk]:
@@ -435,7 +438,7 @@ def split_children(text: str, meaning: Meaning | None = None, most: int = 800, l
 
 def split_tokens(text: str, size: int = 384, overlap: int = 150) -> list[Chunk]:
     """Sentences packed to ``size`` words, each pack after whole sentences of ``overlap`` words of the one before."""
-    sentences = [s for s in re.findall(r"[^.!?。！？\n]+[.!?。！？\n]*\s*", text) if s.strip()]
+    sentences = [s for s in re.findall(r"[.!?。！？\n]*[^.!?。！？\n]+[.!?。！？\n]*\s*|[.!?。！？\n]+", text) if s.strip()]
     words = lambda s: len(re.findall(r"[一-鿿]|[^\s一-鿿]+", s))
     pieces: list[tuple[str, int]] = []
     for s in sentences:

@@ -127,19 +127,58 @@ def approximate(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int
     return best(met.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 12).alias("score")), k)
 
 
+def _unit_rows(tokens) -> np.ndarray:
+    x = np.array([np.asarray(t, float) for t in tokens])
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def search_tokens(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "id", tokens: str = "tokens", query_id: str = "query_id") -> DataFrame:
+    """``query_id, id, score, rank`` of the ``k`` documents of the highest late-interaction score (``max_similarity``).
+
+    The queries' token vectors, the caller's stated set, go to the documents block by block; a block meets a document
+    in one matrix product, and a task keeps ``k`` rows a query. Rows without tokens, as queries or documents, are not
+    found; all token vectors are of one length.
+    """
+    asked = [(r[0], r[1]) for r in queries.select(query_id, tokens).collect() if r[1]]
+    kind, q_kind = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    dim = len(asked[0][1][0]) if asked else 0
+    step, found = max(1, min(BLOCK, BLOCK_BYTES // max(1, 8 * dim * max((len(t) for _, t in asked), default=1)))), None
+    for at in range(0, max(1, len(asked)), step):
+        part = asked[at : at + step]
+        names = [name for name, _ in part]
+        q = np.concatenate([_unit_rows(t) for _, t in part]) if part else np.empty((0, dim))
+        starts = np.cumsum([0, *(len(t) for _, t in part)])[:-1]
+
+        def run(batches: Iterator[pa.RecordBatch], q=q, names=names, starts=starts) -> Iterator[pa.RecordBatch]:
+            held: list[list[tuple]] = [[] for _ in names]
+            for b in batches:
+                ids = b.column(0).to_pylist()
+                full = [(i, t.as_py()) for i, t in enumerate(b.column(1)) if names and t.is_valid and len(t.as_py())]
+                if not full:
+                    continue
+                s = np.array([np.add.reduceat((q @ _unit_rows(t).T).max(axis=1), starts) for _, t in full])
+                for n, column in enumerate(np.round(s, 12).T):
+                    own = held[n] + [(-float(x), ids[i]) for (i, _), x in zip(full, column, strict=True)]
+                    own.sort()
+                    held[n] = own[:k]
+            flat = [(name, i, -s) for name, own in zip(names, held, strict=True) for s, i in own]
+            if flat:
+                yield pa.RecordBatch.from_pylist([{"query_id": a, "id": i, "score": s} for a, i, s in flat], schema=pa.schema([("query_id", _arrow(q_kind)), ("id", _arrow(kind)), ("score", pa.float64())]))
+
+        rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, tokens).mapInArrow(run, f"query_id {q_kind}, id {kind}, score double")
+        found = rows if found is None else found.unionByName(rows)
+    return best(found, k)
+
+
 def max_similarity(query_tokens: Column, doc_tokens: Column) -> Column:
     """Late interaction: for each token vector of the query the best cosine among the document's, summed up; 0 without
     tokens on either side. One matrix product a row, where nested expressions would be interpreted for each number."""
 
-    def unit(tokens) -> np.ndarray:
-        x = np.array([np.asarray(t, float) for t in tokens])
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return x / np.where(norm > 0, norm, 1.0)
-
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, docs in batches:
             full = [q is not None and d is not None and len(q) > 0 and len(d) > 0 for q, d in zip(queries, docs, strict=True)]
-            yield pd.Series([float((unit(q) @ unit(d).T).max(axis=1).sum()) if ok else 0.0 for q, d, ok in zip(queries, docs, full, strict=True)], dtype="float64")
+            yield pd.Series([float((_unit_rows(q) @ _unit_rows(d).T).max(axis=1).sum()) if ok else 0.0 for q, d, ok in zip(queries, docs, full, strict=True)], dtype="float64")
 
     return run(query_tokens, doc_tokens)

@@ -21,7 +21,7 @@ def _bare(s: str) -> str:
 def test_structure_keeps_sections_and_drops_short_ones():
     body = "正文" * 120
     text = f"1 范围\n{body}\n2 短\n3 要求\n{body}"
-    assert [f["section"] for _, f in c.split_structure(text)] == ["1 范围", "3 要求"]
+    assert [f["section"] for _, f in c.split_structure(text, keep_short=False)] == ["1 范围", "3 要求"]
     kept = c.split_structure(text, keep_short=True)
     assert "".join(_bare(t) for t, _ in kept) == _bare(text)
     assert c.split_structure("") == [] and c.split_structure(" \n ") == []
@@ -41,7 +41,7 @@ def test_heading_may_cross_a_line_end():
 @given(PARAGRAPHS)
 @settings(max_examples=60, deadline=None)
 def test_paragraph_packs_hold_whole_paragraphs_in_order(text):
-    packs = c.split_paragraphs(text, 400, 1)
+    packs = c.split_paragraphs(text, 400, 1, keep_short=False)
     assert _bare("".join(t for t, _ in packs)) == _bare(text)
 
 
@@ -137,3 +137,31 @@ def test_sections_of_random_levels_follow_the_stack(spark):
             want = stack[-1][1] if stack else r.doc_node_id
             stack.append((level, r.chunk_id))
         assert r.parent_id == want
+
+
+def _survives(text, chunks):
+    """Whether the characters of a text but for white space are, in order, among those of its chunks."""
+    it = iter("".join("".join(t.split()) for t, _ in chunks))
+    return all(x in it for x in "".join(text.split()))
+
+
+PIECES = ["1 范围", "1.1 要求", "# Title", "附录A", "第一章 总则", "- an item", "短句。", "A short line.", "x" * 90, "长" * 60 + "。", "Sentence one. Sentence two! " * 12, "def f():", "...", "|a|b|"]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14), st.sampled_from(["\n", "\n\n", " "]))
+def test_no_splitter_loses_text(pieces, gap):
+    text = gap.join(pieces)
+    meaning = c.Meaning(hashed, most=100, least=40, overlap=0)
+    for name, split in {
+        "structure": lambda t: c.split_structure(t, 300, 80, 0), "paragraphs": lambda t: c.split_paragraphs(t, 300, 80), "children": lambda t: c.split_children(t, most=200, least=60, overlap=0),
+        "meaning": meaning, "fallback": meaning.fallback, "tokens": lambda t: c.split_tokens(t, 20, 0), "levels": lambda t: [x for x in c.split_levels(t, (40, 20), 10) if x[1]["parent_level"] == 0],
+    }.items():
+        assert _survives(text, split(text)), name
+    assert _survives(text, c.split_children(text, c.Meaning(hashed, most=100, least=40, overlap=0), 200, 60, 0))
+
+
+def test_a_held_rest_is_not_overwritten():
+    text = "a" * 29 + "\n" + "b" * 90
+    assert _survives(text, c.Meaning(hashed, most=100, least=40).assemble(text, [30]))
+    assert len(c.Meaning(hashed, most=100, least=40, keep_short=False).assemble(text, [30])) == 1
