@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.metadata import HEADINGS
@@ -66,6 +67,17 @@ def line_sections(text: str) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
+def sections(text: Column) -> Column:
+    """``line_sections`` for a column of texts."""
+
+    @F.pandas_udf("array<struct<start: int, stop: int, number: string, title: string, kind: string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else [dict(zip(("start", "stop", "number", "title", "kind"), x, strict=True)) for x in line_sections(t)] for t in s], dtype=object)
+
+    return run(text)
+
+
 def mark_sections(text: str) -> str:
     """A comment that names the section before each heading."""
     out, at = [], 0

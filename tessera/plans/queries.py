@@ -333,16 +333,31 @@ def aligned_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("doc_id", "first_line", "n_lines", (F.col("n_lines") >= 3).alias("is_table"))
 
 
+#: Lines of the domain; one follows each document, so that rules for headings, terms and Chinese text have rows.
+DOMAIN = [
+    "1 范围", "1.1 术语和定义 GB/T 4588.3-2002", "附录A 试验方法", "第二章 总则", "表 1 板厚 与 线宽 FR-4 1oz", "图 2-1 阻抗 50 ohm", "FR 4 , CEM-3 , 聚酰亚胺 , Rogers 4350", "喷锡 或 沉金 , OSP , 沉银 .",
+    "thickness and trace width, impedance 50 ohm, 2 oz", "AOI , 飞针 , flying probe , ICT , 在线测试 .", "IPC-6012 ISO 9001:2015 SJ/T 10309-2016", "no term here",
+]
+_DOMAIN = f"domain AS (SELECT doc_id, text || chr(10) || ({_list(DOMAIN)})[doc_id % {len(DOMAIN)} + 1] AS text FROM documents)"
+
+
+def _domain(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.element_at(F.array(*map(F.lit, DOMAIN)), (F.col("doc_id") % len(DOMAIN) + 1).cast("int"))
+    return _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), line).alias("text"))
+
+
+def _of_section(k: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(b, '{p}') THEN regexp_extract(b, '{p}', {k})" for p, _ in chunking.LINE_SECTIONS) + " END"
+
+
 _SECTION = "CASE " + " ".join(f"WHEN regexp_matches(b, '{p}') THEN '{k}'" for p, k in chunking.LINE_SECTIONS) + " END"
 
 
-@query(f"WITH {_LINES}, k AS (SELECT doc_id, i, {_BARE} AS b FROM lines) SELECT doc_id, i AS line_no, {_SECTION} AS kind, b AS heading FROM k WHERE {_SECTION} IS NOT NULL")
+@query(f"""WITH {_DOMAIN}, {_LINES.replace('FROM documents', 'FROM domain')}, k AS (SELECT doc_id, {_BARE} AS b, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines)
+  SELECT doc_id, CAST(start AS INTEGER) AS start, {_SECTION} AS kind, {_of_section(1)} AS number, {_of_section(2)} AS title FROM k WHERE {_SECTION} IS NOT NULL""")
 def section_lines(spark: SparkSession, sf: str) -> DataFrame:
-    bare = text.strip(F.col("line"))
-    kind = None
-    for p, k in chunking.LINE_SECTIONS:
-        kind = (F if kind is None else kind).when(bare.rlike("(?d)" + p), F.lit(k))
-    return _line_rows(spark, sf).select("doc_id", F.col("i").alias("line_no"), kind.alias("kind"), bare.alias("heading")).where("kind IS NOT NULL")
+    rows = _domain(spark, sf).select("doc_id", F.explode(chunking.sections(F.col("text"))).alias("s"))
+    return rows.select("doc_id", "s.start", "s.kind", "s.number", "s.title")
 
 
 _BLOCK_KIND = r"""CASE WHEN regexp_matches(left(p, 100), '(?m)^(?:[\d]+[.、)]|[a-z][.)]|[-•·※])\s+') THEN 'list' WHEN regexp_matches(left(p, 100), '(?m)^[\s]*(?:def |class |import |from |if |for |while |#)') THEN 'code' ELSE 'paragraph' END"""
@@ -373,19 +388,22 @@ def document_types(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", metadata.document_type(F.col("text")).alias("doc_type"))
 
 
-_ENTITY_KINDS = list(metadata.ENTITIES)
+def _entity_sql() -> str:
+    edge = r"[^\p{L}\p{N}_]"  # a word's edge, for letters of any script
 
+    def one(kind: str, p: str) -> str:
+        first, last = p.startswith(r"\b"), p.endswith(r"\b")
+        core = p[2 * first : len(p) - 2 * last]
+        whole = (f"(?:^|{edge})" if first else "") + f"({core})" + (f"(?:$|{edge})" if last else "")
+        return f"SELECT doc_id, '{kind}' AS kind, list_distinct(list_transform(regexp_extract_all(text, '(?i){whole}', 1), lambda x: trim(x))) AS found FROM domain"
 
-def _entity_sql() -> str:
-    rows = [f"SELECT doc_id, '{k}' AS kind, list_distinct(regexp_extract_all(text, '(?i){metadata.ENTITIES[k]}', {metadata._group(metadata.ENTITIES[k])})) AS found FROM documents" for k in _ENTITY_KINDS]
-    return f"WITH e AS ({' UNION ALL '.join(rows)}) SELECT doc_id, kind, CAST(least(len(found), 10) AS INTEGER) AS n FROM e WHERE len(found) > 0"
+    return f"WITH {_DOMAIN}, e AS ({' UNION ALL '.join(one(*x) for x in metadata.ENTITIES.items())}) SELECT doc_id, kind, CAST(least(len(found), 10) AS INTEGER) AS n FROM e WHERE len(found) > 0"
 
 
 @query(_entity_sql())
 def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.size(metadata.entities_of(F.col("text"), k)).alias("n")) for k in _ENTITY_KINDS))
-    rows = _t(spark, sf, "documents").select("doc_id", F.explode(each).alias("e"))
-    return rows.select("doc_id", "e.kind", "e.n").where("n > 0")
+    rows = _domain(spark, sf).select("doc_id", F.explode(metadata.entities(F.col("text"))).alias("kind", "found"))
+    return rows.select("doc_id", "kind", F.size("found").alias("n"))
 
 
 @query(rf"""SELECT doc_id, regexp_matches(text, '(?:\t.*){{3,}}|\|.*\|.*\|') AS has_table, regexp_matches(text, '{metadata.FORMULA}') AS has_formula,
