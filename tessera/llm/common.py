@@ -83,9 +83,9 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A stored table, marked for broadcast if all its rows, at ``row_bytes`` at most, stay within
-    ``BROADCAST_BYTES``; a larger one is left to a join by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """A stored table, marked for broadcast if all its rows, at ``row_bytes`` at most and what a hash table takes for
+    each, stay within ``BROADCAST_BYTES``; a larger one is left to a join by shuffle."""
+    return F.broadcast(df) if df.count() * (row_bytes + 48) <= BROADCAST_BYTES else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

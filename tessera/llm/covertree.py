@@ -33,9 +33,10 @@ from tessera.llm.components import components
 
 LEAF, SLACK = 32, 1e-6
 #: Classes that a cell is to hold, pivots of a larger one, and bytes of the pivots that are broadcast at a time.
-CELL, FAN, PIVOT_BYTES = 2048, 48, 32 << 20
-#: A cell is not taken apart if a child keeps this part of it, or its rows become so many times more.
-STUCK, CROWDED = 0.9, 4
+CELL, FAN, PIVOT_BYTES = 8192, 16, 32 << 20
+#: A cell is not taken apart if a child keeps this part of it, or if one in ``SAMPLE`` of its rows, dealt for a test,
+#: become so many times more. Either way all pairs are met.
+STUCK, CROWDED, SAMPLE = 0.9, 3, 16
 #: Distances computed at a time.
 BLOCK = 1 << 21
 
@@ -167,9 +168,10 @@ GUEST, APART, OWN = 0, 1, 2
 _CELL = ["label", "dim", "cell"]
 
 
-def _dealt(rows: DataFrame, level: int, far: float) -> DataFrame:
-    """Rows of a chunk of cells to the cells of their pivots, with ``parent``."""
-    chosen = rows.where(F.col("role") == OWN).where(F.pmod(F.xxhash64("rep", F.lit(level)), F.greatest(F.ceil(F.col("size") / FAN), F.lit(1))) == 0)
+def _dealt(of: DataFrame, rows: DataFrame, level: int, far: float) -> DataFrame:
+    """Rows of a chunk of cells to the cells of their pivots, with ``parent``; ``first`` marks one place of each row.
+    The pivots are chosen among all rows of the chunk, ``of``."""
+    chosen = of.where(F.col("role") == OWN).where(F.pmod(F.xxhash64("rep", F.lit(level)), F.greatest(F.ceil(F.col("size") / FAN), F.lit(1))) == 0)
     pivots: dict[tuple, np.ndarray] = {}
     for r in chosen.groupBy(*_CELL).agg(F.array_sort(F.collect_list(F.struct("rep", "v"))).alias("p")).collect():  # PIVOT_BYTES or so: some FAN a cell
         x = np.array([p.v for p in r.p], float)
@@ -179,7 +181,7 @@ def _dealt(rows: DataFrame, level: int, far: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         between: dict[tuple, np.ndarray] = {}
         for b in batches:
-            at, cells, roles = [], [], []
+            at, cells, roles, first = [], [], [], []
             names = zip(*(b.column(k).to_pylist() for k in (*_CELL, "role")), strict=True)
             for k, ((label, dim, cell, role), v) in enumerate(zip(names, b.column("v"), strict=True)):
                 p = shared.value.get((label, dim, cell))
@@ -197,12 +199,13 @@ def _dealt(rows: DataFrame, level: int, far: float) -> DataFrame:
                 at += [k] * len(places)
                 cells += [f"{cell}/{place}" for place in places]
                 roles += [OWN if role == OWN and place == home else GUEST for place in places]
+                first += [place == places[0] for place in places]
             out = b.take(pa.array(at, pa.int64()))
             kept = [out.column(k) for k in ("label", "dim", "v", "rep", "m")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.string()), pa.array(roles, pa.int32()), out.column("cell"), out.column("size")], names=["label", "dim", "v", "rep", "m", "cell", "role", "parent", "size"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.string()), pa.array(roles, pa.int32()), pa.array(first, pa.bool_()), out.column("cell"), out.column("size")], names=["label", "dim", "v", "rep", "m", "cell", "role", "first", "parent", "size"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.select(*_CELL, "v", "rep", "m", "role", "size").mapInArrow(run, f"label {kind}, dim int, v array<double>, rep long, m long, cell string, role int, parent string, size long")
+    return rows.select(*_CELL, "v", "rep", "m", "role", "size").mapInArrow(run, f"label {kind}, dim int, v array<double>, rep long, m long, cell string, role int, first boolean, parent string, size long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -223,35 +226,30 @@ def cells(classes: DataFrame, far: float) -> DataFrame:
     """``label, dim, v, rep, m, cell, role`` of all classes in cells of at most ``CELL`` (and guests)."""
     columns, key = ["label", "dim", "v", "rep", "m", "cell", "role"], F.col("role") == OWN
     rows, ready, level = classes.select("label", "dim", "v", "rep", "m", F.lit("").alias("cell"), F.lit(OWN).alias("role")), [], 0
-    limits = None
     while True:
         sizes = rows.where(key).groupBy(*_CELL).agg(F.count("*").alias("size"))
-        if limits is not None:  # of the parents: their sizes, and whether their guests were too many
+        if level:  # of the parents: their sizes, and whether their guests were too many
             was = rows.groupBy(*_CELL).agg(F.first("size").alias("was"))
             sizes = sizes.join(was, _CELL)
         sizes = keep(sizes.where(F.col("size") > CELL), "sizes")
         marked = rows.drop("size").join(small(sizes, 200), _CELL, "left")
         ready.append(marked.where("size is null").select(*columns))
-        if limits is not None:
+        if level:
             ready.append(_blocks(marked.where(F.col("size") >= STUCK * F.col("was"))))
             marked = marked.where(F.col("size") < STUCK * F.col("was"))
             sizes = sizes.where(F.col("size") < STUCK * F.col("was"))
         total = sizes.agg(F.sum(F.lit(FAN * 8) * F.col("dim")).alias("b")).first().b
         if not total:
             return reduce(DataFrame.unionByName, ready)
-        chunks = -(-total // PIVOT_BYTES)
+        chunks = int(-(-total // PIVOT_BYTES))
         open_ = keep(marked.where("size is not null").select(*columns, "size").withColumn("chunk", F.pmod(F.xxhash64(*_CELL), F.lit(chunks))), "open")
-        found = None
-        for chunk in range(chunks):
-            dealt = _dealt(open_.where(F.col("chunk") == chunk), level, far)
-            found = dealt if found is None else found.unionByName(dealt)
-        found = keep(found, "dealt")
-        grown = found.groupBy("label", "dim", F.col("parent").alias("cell")).agg(F.count("*").alias("out"))
-        before = open_.groupBy(*_CELL).agg(F.count("*").alias("in"))
-        crowded = keep(grown.join(before, _CELL).where(F.col("out") > CROWDED * F.col("in")).select(*_CELL), "crowded")
-        ready.append(_blocks(open_.join(small(crowded, 200), _CELL, "left_semi")))
-        parent = crowded.withColumnRenamed("cell", "parent")
-        rows, limits, level = found.join(small(parent, 200), ["label", "dim", "parent"], "left_anti").select(*columns, "size"), True, level + 1
+        parts = [open_.where(F.col("chunk") == chunk) for chunk in range(chunks)]
+        tried = [_dealt(p, p.where(F.pmod(F.xxhash64("rep", F.lit(-2)), F.lit(SAMPLE)) == 0), level, far) for p in parts]
+        grown = reduce(DataFrame.unionByName, tried).groupBy("label", "dim", F.col("parent").alias("cell")).agg(F.count("*").alias("out"), F.sum(F.col("first").cast("int")).alias("in"))
+        crowded = small(keep(grown.where(F.col("out") > CROWDED * F.col("in")).select(*_CELL), "crowded"), 200)
+        ready.append(_blocks(open_.join(crowded, _CELL, "left_semi")))
+        dealt = [_dealt(p, p.join(crowded, _CELL, "left_anti"), level, far) for p in parts]
+        rows, level = keep(reduce(DataFrame.unionByName, dealt).select(*columns, "size"), "dealt"), level + 1
 
 
 def link_vectors(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
