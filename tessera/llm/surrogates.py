@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
 from tessera.llm.common import keep, settle, unused, written
 
 #: Candidates of an entity before the number of its letters grows.
@@ -296,14 +295,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     texts = texts.groupBy("doc_id", "h", "m").agg(F.min(F.struct("kind", "written")).alias("w"))
     maps = texts.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("m", "w.written"))).alias("new"), F.collect_list(F.when(F.col("w.kind").isNotNull(), F.col("m"))).alias("mentions"))
     numbers = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "cards")
-    maps = maps.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "new", _pattern(F.col("cards"), F.col("mentions")).alias("pattern"))
+    maps = maps.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "new", "cards", "mentions")
     docs = docs.drop("n_entities")
-    d, h, new, pattern, matches = unused(docs, "of", "hash", "new", "pattern", "matches")
-    held = settle(maps.toDF(d, h, new, pattern), "held", since)
-    size = held.agg(F.sum(F.length(pattern) + F.length(F.to_json(new))).alias("n")).first().n or 0
-    held = F.broadcast(held) if 4 * size <= common.BROADCAST_BYTES else held
+    d, h, new, numbers, mentions, pattern, matches = unused(docs, "of", "hash", "new", "numbers", "mentions", "pattern", "matches")
+    held = settle(maps.toDF(d, h, new, numbers, mentions), "held", since)
     text, new_of = F.col("text").cast("string"), F.col(new)
-    out = docs.join(held, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+    # by shuffle at every size: the maps grow with the documents
+    out = docs.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+    out = out.withColumn(pattern, F.when(new_of.isNotNull(), _pattern(F.col(numbers), F.col(mentions))))
     out = out.withColumn(matches, F.when(new_of.isNotNull(), F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
     pieces = F.zip_with(F.split(text, F.col(pattern), F.lit(-1)), F.transform(matches, lambda m: F.coalesce(F.element_at(new_of, m), m)), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
     columns = [F.when(new_of.isNotNull(), F.array_join(pieces, "")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]

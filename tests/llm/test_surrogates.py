@@ -1,9 +1,8 @@
 import random
 
-import pytest
 import regex as re
 
-from tessera.llm import common, surrogates
+from tessera.llm import surrogates
 
 KEY = "a key"
 TEXTS = [
@@ -149,10 +148,7 @@ def spans(text):
 PARTS = ["Mr. Peter Smithson", "Smithson", "Peter", "Smithson's", "Dr. Anna Weber", "Anna", "Mrs Weber", "Anna-Maria", "078-05-1120", "4411", "123", "555-123-4567", "12", "4111 1111 1111 1111", "4111111111111111", "1234", "4111-1111-1111-1112", "3782 822463 10005", "a@b.org", "10.1.2.3", "fe80::1:2", "2001:db8:0:0:0:0:2:1", "12:30:45", "Foo::bar", "the", "room", "\n", "王小明先生", "token=abcdef12"]
 
 
-@pytest.mark.parametrize("joins", ["broadcast", "shuffle"])
-def test_what_is_replaced_is_what_a_plain_search_finds(spark, monkeypatch, joins):
-    if joins == "shuffle":
-        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+def test_what_is_replaced_is_what_a_plain_search_finds(spark):
     r = random.Random(11)
     said = ["Mr. Peter Smithson spoke", "Dr. Anna Weber spoke", "Order 123 555-123-4567 now", "Room 4411 078-05-1120", "Mr. Peter Smithson, 42, lives here. Later Smithson left; Peter too.", "Order 12 4111 1111 1111 1111 and 1234 4111 1111 1111 1111 5"]
     texts = said + [" ".join(r.choice(PARTS) for _ in range(r.choice([3, 8, 20]))) for _ in range(60)]
