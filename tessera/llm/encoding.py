@@ -1,4 +1,4 @@
-"""Whole texts to token ids with the tokenizers library, frequent pieces encoded once per task.
+"""Whole texts to token ids with the tokenizers library, frequent pieces encoded once per worker.
 
 The pre-tokenisers of the supported files never join characters across the pieces found here, so encoding the
 pieces apart gives the ids of the whole text. Texts with characters outside ``PLAIN`` (where Unicode tables of the
@@ -22,7 +22,7 @@ _SPACES = r"\t\n\r "
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ſ‐-‧А-яぁ-ゖァ-ヺ一-龥]*")
 BYTE_LEVEL = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
 LOWERED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-#: Bytes of the pieces that a task keeps, twice: a bound on its memory, not on what is encoded.
+#: Bytes of the pieces that a worker keeps, twice: a bound on its memory, not on what is encoded.
 MOST_KEPT = 32 << 20
 
 #: The characters by which byte-level models write bytes: printable ones as they are, the others from U+0100 on.
@@ -57,7 +57,7 @@ class _Kept(dict):
 class Encoder:
     """Ids of texts, and the end id after them, as little-endian unsigned 32-bit bytes; a null text is empty.
 
-    A task makes its own, so that a reused worker does not hold one task's vocabulary and pieces through the next.
+    A worker keeps one from task to task, see ``encoder``.
     """
 
     def __init__(self, path: str, end: int) -> None:
@@ -87,3 +87,19 @@ class Encoder:
         if self.find is None or not PLAIN.fullmatch(text) or any(x in text for x in self.added):
             return self.whole(text) + self.end
         return b"".join(map(self.kept.__getitem__, self.find(text.lower() if self.lower else text))) + self.end
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end: int) -> Encoder:
+    """The worker's encoder for a file: one, which tasks of other operators drop when they begin."""
+    if (path, end) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
+
+
+def drop_encoder() -> None:
+    """Frees the encoder that an earlier task of this reused worker has left."""
+    _encoders.clear()

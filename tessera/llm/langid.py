@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import unused
+from tessera.llm.encoding import drop_encoder
 
 BINS = 1 << 14
 #: Characters counted at a time; bounds the memory that a text of any length takes.
@@ -57,6 +58,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         held: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -128,6 +130,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(probabilities.astype(np.float32))  # BINS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         p = shared.value.astype(np.float64)
         for b in batches:
             names, scores = [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep
-from tessera.llm.encoding import Encoder
+from tessera.llm.encoding import drop_encoder, encoder
 
 #: Pieces whose ranks are counted together.
 CHUNK_ROWS = 4096
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFram
     """``doc_id, piece, start, length, ids_crc32`` of the pieces that the texts' ids are cut into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer, end)
+        part, n, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer, end)
         for b in batches:
             out: list[list[int]] = [[], [], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -144,6 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 1024) -> Dat
     bases = bases.select("chunk", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         for b in batches:
             lengths, ranks = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "rank"))
             bins, offsets = np.empty_like(ranks), np.empty_like(ranks)

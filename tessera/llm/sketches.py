@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, settle, shuffle_width, small, unused, written
 from tessera.llm.components import components
+from tessera.llm.encoding import drop_encoder
 from tessera.llm.shingles import _mix, shingles
 
 K, RUN = 64, 3
@@ -117,6 +118,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """``doc_id, n, set_id, keys`` of every row; ``set_id`` is equal for equal sets and null for empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         for b in batches:
             n, names, keys = [], [], []
             for text in b.column(1):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, shuffle_width
-from tessera.llm.encoding import Encoder
+from tessera.llm.encoding import drop_encoder, encoder
 
 MAGIC, BLOCK, PERCENTILE = b"PFOR1\0\0\0", 256, 90
 #: Ids after which a shard is closed at the next document's end.
@@ -137,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         names, lengths, data, size = [], [], [], 0
-        encode = Encoder(tokenizer, end)
+        encode = encoder(tokenizer, end)
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(data), "<u4")
@@ -173,6 +173,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         at += r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         for b in batches:
             for part, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 docs, lengths, ids = unpack_shard(data.as_py())
