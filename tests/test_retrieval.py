@@ -164,3 +164,25 @@ def test_filters(spark):
 def test_max_similarity(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 2.0]], [[2.0, 0.0], [1.0, 1.0]]), (None, [[1.0, 0.0]])], "q array<array<double>>, d array<array<double>>")
     assert [r.s for r in df.select(vector.max_similarity(F.col("q"), F.col("d")).alias("s")).collect()] == pytest.approx([1 + math.sqrt(0.5), 0.0])
+
+
+def test_similar_pairs_meet_in_products(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(900, [float("nan")] * 8, 0), (901, [0.0] * 8, 0), (902, [1.0, None] * 4, 0), (903, x[3].tolist(), None), (904, x[0].tolist(), 0), (905, [1.0], 0), (906, [2.0], 0), (907, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    made = vector.similar_pairs(df.where("vec_id % 20 = 0 OR vec_id > 900"), df, 0.7, "label")
+    good = {i: (np.array(v), label) for i, v, label in rows if v and None not in v and label is not None and 0 < np.dot(v, v) < np.inf}
+    cos = {(a, b): good[a][0] @ good[b][0] / np.linalg.norm(good[a][0]) / np.linalg.norm(good[b][0]) for a in good for b in good if (a % 20 == 0 or a > 900) and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0])}
+    assert {(r.id, r.other): r.score for r in made.collect()} == pytest.approx({p: s for p, s in cos.items() if s >= 0.7})
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()  # no row a pair before the threshold
+    assert vector.similar_pairs(df.where("false"), df, 0.7, "label").collect() == []
+
+
+def test_vector_search_keeps_the_smallest_ids_of_copies(spark):
+    rows = [(i, [1.0, 2.0, 3.0 + (i % 2)], f"k{i % 2}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3)
+    got = vector.search(df, df.where("vec_id IN (0, 1)").withColumnRenamed("vec_id", "query_id"), 4)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got.collect()) == [(q, n + 1, q + 2 * n) for q in (0, 1) for n in range(4)]
+    by_text = vector.search(df.withColumn("vec_id", F.col("vec_id").cast("string")), df.where("vec_id IN (0, 1)").withColumnRenamed("vec_id", "query_id").withColumn("label", F.when(F.col("query_id") == 0, F.lit("k1"))), 2, filters=("label",))
+    assert sorted((r.query_id, r.id) for r in by_text.collect()) == [(0, "1"), (0, "1001"), (1, "1"), (1, "1001")]
