@@ -144,6 +144,28 @@ def test_metrics(spark):
     assert {r.delta for r in metrics.compare(report, report).collect()} == {0.0}
 
 
+def test_metrics_by_label_are_those_of_the_truth_written_out(spark):
+    docs = spark.createDataFrame([(i, i % 4) for i in range(40)] + [(3, 1), (5, 1), (7, None)], "id long, label int")
+    queries = spark.createDataFrame([(100, 1), (101, 3), (102, 3), (102, 1), (103, None), (104, 9), (101, 3)], "query_id long, label int")
+    hits = spark.createDataFrame([(q, (q + 3 * r) % 40, r) for q in range(100, 105) for r in range(1, 11)] + [(100, 3, 4)], "query_id long, id long, rank int")
+    truth = queries.join(docs, "label")
+    made = metrics.per_query_by_label(hits, queries, docs, (1, 5))
+    assert sorted(made.collect()) == sorted(metrics.per_query(hits, truth, (1, 5)).collect()) and made.count() == 3
+    # no table of all queries' documents
+    from tessera.plans import queries as registered
+
+    sf, seen = "/root/testdata/sf0.001", []
+    own, metrics._measured = metrics._measured, lambda size, found, ks: seen.append((size, found)) or own(size, found, ks)
+    try:
+        registered.QUERIES["ir_metrics"](spark, sf)
+    finally:
+        metrics._measured = own
+    ((size, found),) = seen
+    assert "label" not in size.columns and found.count() <= 10 * size.count()
+    plan = size._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join Inner")[1]  # queries meet counts of labels, not documents
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(1, "a", "ring width", "width", 0.1, 1), (1, "b", "ring width", "ring width", 0.0, 2)], "query_id int, id string, query string, text string, score double, rank int")
     assert [r.id for r in rerank.by_overlap(hits, 1).collect()] == ["b"]
