@@ -5,6 +5,9 @@ Every function takes and returns a ``Column``; a null text gives null, an empty
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,33 @@ CHINESE = r"\x{4e00}-\x{9fff}"
 REPLACEMENT = "�"
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _dropped(*classes: str) -> str:
+    """A pattern of runs of what any of the classes names or of what is neither proper nor white space. Single characters
+    below 256 are looked up in one table of the matcher, ranges are tried in turn; so only others come to the ranges."""
+    kept = re.compile(f"[{_python(VALID + SPACE)}]").match
+    bad = re.compile(f"[{_python(''.join(classes))}]").match
+    stays = lambda c: kept(chr(c)) and not bad(chr(c))
+    low = "".join(rf"\x{{{c:x}}}" for c in range(0x100) if not stays(c))
+    runs: list[list[int]] = []
+    for c in filter(stays, range(0x100, 0x10000)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    high = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+    return rf"[{low}[[^\x{{0}}-\x{{ff}}]&&[^{high}]]]+"
+
+
+def _python(characters: str) -> str:
+    """A character class of Java's syntax in Python's."""
+    return re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", characters)
+
+
 def without(text: Column, characters: str) -> Column:
     return F.regexp_replace(text, f"[{characters}]+", "")
 
@@ -92,11 +122,13 @@ def clean_text(text: Column, strict: bool = False) -> Column:
         out = F.regexp_replace(without(text, debris), rf"(?<![a-zA-Z])[{accented}]{{3,}}(?![a-zA-Z])", "")
         out = F.regexp_replace(out, f"[^{VALID}{SPACE}]+", "")
     else:  # single characters go, whatever the order, so in one pass
-        out = F.regexp_replace(text, f"(?:[{debris}]|[^{VALID}{SPACE}])+", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+        out = F.regexp_replace(text, _dropped(debris), "")
+    # most texts have no such run: to look for one costs less than to match; a lone space stays as it is
+    out = _once(out, lambda t: F.when(t.contains("\t") | t.contains("  "), F.regexp_replace(t, r"\t[ \t]*+| [ \t]++", " ")).otherwise(t))
+    out = _once(out, lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}+", "\n\n")).otherwise(t))
     if strict:
         out = F.regexp_replace(out, rf"(?md)^[{SPACE}]+", "")
-    return strip(out)
+    return _once(out, strip)
 
 
 def lines_of(text: Column) -> Column:

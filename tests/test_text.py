@@ -30,6 +30,15 @@ def test_clean_text(spark):
     assert cleaned["emoji 😀 and 汉字"] == "emoji and 汉字"
 
 
+def test_cleaning_makes_each_step_once(spark):
+    texts = ["a\t b", "a \t", " \t\t ", "x  y   z", "\n\n\n\n", "a\n\n\nb \n", "IJK Ĵ ӡ\x7f", "a\u2028 \u0085b\u00a0", "\x1c\x1f x", None]
+    cleaned = text.clean_text(F.col("t")).alias("c")
+    made = {r.t: r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", cleaned).collect()}
+    assert list(map(made.get, texts)) == ["a b", "a", "", "x y z", "", "a\n\nb", "K Ĵ \x7f".replace("Ĵ ", ""), "a\u2028 \u0085b", "x", None]
+    plan = spark.createDataFrame([("a",)], "t string").select(cleaned)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 1  # a step's text is not made again for each of its uses
+
+
 def test_decoding_finds_the_table():
     chinese = "印制板的尺寸和厚度应符合标准要求。" * 5
     assert folds.decode(chinese.encode("gbk")) == (chinese, "gbk")
