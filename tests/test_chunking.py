@@ -165,3 +165,26 @@ def test_a_held_rest_is_not_overwritten():
     text = "a" * 29 + "\n" + "b" * 90
     assert _survives(text, c.Meaning(hashed, most=100, least=40).assemble(text, [30]))
     assert len(c.Meaning(hashed, most=100, least=40, keep_short=False).assemble(text, [30])) == 1
+
+
+def test_chunks_are_passed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(c, "PIECE_CHARS", 1000)
+    docs = spark.createDataFrame([(i, "One two three. " * 20 if i % 7 else None) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = c.chunk(docs, c.split_tokens).orderBy("doc_id").collect()
+    assert len(rows) == 51 and {r.text for r in rows} == {("One two three. " * 20).strip()}
+    # what a task holds: seen where the pieces of one batch come in
+    import pyarrow as pa
+
+    seen: list = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(60)]), pa.array(["One two three. " * 20] * 60)], names=["doc_id", "text"])
+            seen.extend(b.num_rows for b in run(iter([batch])))
+            return docs.selectExpr("text", "doc_id", "0 AS chunk_idx")
+
+    c.chunk(Docs(), c.split_tokens)
+    assert sum(seen) == 60 and max(seen) <= 4
