@@ -1,8 +1,8 @@
 """Lexical search: an inverted index as tables, and BM25+ over it.
 
-``Index.build`` explodes terms once; counts are summed within tasks before the shuffle. A search joins the few query
-terms with the postings, so it reads the rows of those terms only, and keeps the best ``k`` per query within tasks
-before they meet (a ranked window over a limit). Frequent terms, those in more than ``MOST_DOCS`` of all documents,
+``Index.build`` explodes terms once; counts are summed within tasks before the shuffle. A search reads the query terms to the driver and filters by them,
+so it counts and joins the postings of those terms only, and keeps the best ``k`` per query within tasks before they meet
+(a ranked window over a limit). Frequent terms, those in more than ``MOST_DOCS`` of all documents,
 are left out before the join, so no posting list of nearly the corpus's size is scored.
 
 Cases: a null or empty text has no terms, still counts as a document and can match nothing; a query without a known
@@ -38,7 +38,8 @@ class Index:
         found = docs.withColumn("_id", F.col(doc_id)).repartition("_id").select(F.col("_id").alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
         # outer: else a filter on the array is put below, and all terms are made twice
         postings = found.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"))
-        lengths = found.groupBy("id").agg(F.sum(F.coalesce(F.size("terms"), F.lit(0)).cast("long")).alias("dl"))
+        # dealt once more, though by the same: one small exchange that the statistics and a search share
+        lengths = found.groupBy("id").agg(F.sum(F.coalesce(F.size("terms"), F.lit(0)).cast("long")).alias("dl")).repartition("id")
         frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
         return cls(postings, lengths, frequencies, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
@@ -66,11 +67,14 @@ def term_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, qtf
 def score(index: Index, queries: DataFrame, protected: Collection[str] = (), **how) -> DataFrame:
     """``query_id, id, score`` of every document with a term of a query. ``queries``: ``query_id, text``.
 
-    Queries are few beside the corpus, but their number is the caller's: Spark decides by size how to join them.
+    The queries' terms, the caller's stated set, are read to the driver, so that no other term is counted or joined; how
+    to join the queries, Spark decides by size.
     """
     q = query_terms(queries, protected=protected, **how)
-    known = q.join(index.frequencies, "term").crossJoin(F.broadcast(index.stats)).where(F.col("df") <= MOST_DOCS * F.col("n"))  # one row
-    met = index.postings.join(known, "term").join(index.lengths, "id")
+    asked = F.col("term").isin(*sorted(r.term for r in q.select("term").distinct().collect()))
+    frequencies, postings = index.frequencies.where(asked), index.postings.where(asked)
+    known = q.join(frequencies, "term").crossJoin(F.broadcast(index.stats)).where(F.col("df") <= MOST_DOCS * F.col("n"))  # one row
+    met = postings.join(known, "term").join(index.lengths, "id")
     boosted = F.col("term").isin(*protected) if protected else F.lit(False)
     each = term_score(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("qtf"), boosted)
     return met.groupBy("query_id", "id").agg(F.round(F.sum(each), 9).alias("score")).where("score > 0")

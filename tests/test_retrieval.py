@@ -55,6 +55,16 @@ def test_bm25_agrees_with_brute_force(spark, query):
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-6)
 
 
+def test_search_counts_only_the_terms_asked_for(spark):
+    docs = spark.createDataFrame([*DOCS, (1, "ring width"), (2, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "ring width"), (8, "annular")], "query_id int, text string")
+    made = lexical.search(lexical.Index.build(docs), asked)
+    assert sorted(made.collect()) == sorted(lexical.search_texts(docs, asked).collect())  # repeated ids are one document
+    lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = [b for b, line in zip(lines, lines[1:]) if "Generate explode(terms" in line]
+    assert len(above) == 2 and all(" IN (annular,ring,ring_width,width)" in b for b in above)  # postings and the counts of their documents
+
+
 def test_search_on_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     asked = spark.createDataFrame([(7, "x")], "query_id int, text string")
