@@ -1,6 +1,7 @@
 """Lexical search: an inverted index as tables, and BM25+ over it.
 
-``Index.build`` explodes terms once; counts are summed within tasks before the shuffle. A search reads the query terms to the driver and filters by them,
+``Index.build`` explodes terms once; counts are summed within tasks before the shuffle, and a task has ``PART_BYTES`` of
+the table, so its terms stay in memory at every size. A search reads the query terms to the driver and filters by them,
 so it counts and joins the postings of those terms only, and keeps the best ``k`` per query within tasks before they meet
 (a ranked window over a limit). Frequent terms, those in more than ``MOST_DOCS`` of all documents,
 are left out before the join, so no posting list of nearly the corpus's size is scored.
@@ -21,6 +22,17 @@ from tessera.functions.tokens import terms
 
 # The parameters of BM25+.
 K1, B, DELTA, MOST_DOCS, MOST_REPEATS, BOOST = 1.5, 0.75, 1.0, 0.8, 3, 1.2
+#: Bytes of the stored table whose terms one task counts.
+PART_BYTES = 4 << 20
+
+
+def _parts(docs: DataFrame) -> int:
+    """How many parts an index is made in, by Spark's estimate of the table's size."""
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 46:  # not known
+        return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // PART_BYTES))
 
 
 @dataclass(frozen=True)
@@ -35,7 +47,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", term_column: Column | None = None, **how) -> Index:
         # dealt by id first: postings and lengths then need no shuffle of their own, and postings are larger than texts
-        found = docs.withColumn("_id", F.col(doc_id)).repartition("_id").select(F.col("_id").alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
+        found = docs.withColumn("_id", F.col(doc_id)).repartition(_parts(docs), "_id").select(F.col("_id").alias("id"), (term_column if term_column is not None else terms(F.col(text), **how)).alias("terms"))
         # outer: else a filter on the array is put below, and all terms are made twice
         postings = found.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"))
         # dealt once more, though by the same: one small exchange that the statistics and a search share

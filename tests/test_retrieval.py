@@ -65,6 +65,14 @@ def test_search_counts_only_the_terms_asked_for(spark):
     assert len(above) == 2 and all(" IN (annular,ring,ring_width,width)" in b for b in above)  # postings and the counts of their documents
 
 
+def test_an_index_is_made_in_parts_by_the_tables_size(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lexical, "PART_BYTES", 10_000)
+    n = lexical._parts(docs)
+    plan = lexical.Index.build(docs).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert n >= 29 and any("RepartitionByExpression [_id" in line and line.endswith(f", {n}") for line in plan.split("\n"))
+
+
 def test_search_on_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     asked = spark.createDataFrame([(7, "x")], "query_id int, text string")
